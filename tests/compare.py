@@ -1,0 +1,54 @@
+"""Run a query and its SQL twin and compare the rows without regard to order."""
+
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import duckdb
+import pandas as pd
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        path = Path(sf_dir) / f"{t}.parquet"
+        if path.exists():
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _cell(value):
+    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+        return None
+    if isinstance(value, float) and value == 0:
+        return 0.0
+    return value
+
+
+def normal_rows(frame: pd.DataFrame) -> list[tuple]:
+    frame = frame[sorted(frame.columns)]
+    columns = [frame[c].astype(object).tolist() for c in frame.columns]
+    rows = [tuple(_cell(v) for v in row) for row in zip(*columns)]
+    return sorted(rows, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
+
+
+def kinds(frame: pd.DataFrame) -> dict[str, str]:
+    return {c: str(frame[c].dtype) for c in sorted(frame.columns)}
+
+
+def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
+    """None when equal, otherwise a short account of the first difference."""
+    if sorted(spark_frame.columns) != sorted(sql_frame.columns):
+        return f"columns {sorted(spark_frame.columns)} vs {sorted(sql_frame.columns)}"
+    if len(spark_frame) != len(sql_frame):
+        return f"{len(spark_frame)} rows vs {len(sql_frame)}"
+    for a, b in zip(normal_rows(spark_frame), normal_rows(sql_frame)):
+        if a != b:
+            return f"{a} vs {b}"
+    return None
