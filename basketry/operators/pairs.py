@@ -200,7 +200,7 @@ def similar_by_attributes(
     kept = items.select(item, *block, numeric).filter(F.col(numeric).isNotNull())
     placed = positions(kept, block, [F.col(numeric).asc(), F.col(item).asc()], out="__pos")
     own = F.floor((F.col("__pos") - 1) / F.lit(section))
-    low = F.floor((F.col("__pos") - 1 - n) / F.lit(section))
+    low = F.floor(F.greatest(F.col("__pos") - 1 - n, F.lit(0)) / F.lit(section))
     high = F.floor((F.col("__pos") - 1 + n) / F.lit(section))
     shared = placed.withColumn("__own", own).withColumn(
         "__section", F.explode(F.sequence(low, high))

@@ -94,7 +94,8 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def basket_long(lines: DataFrame, order: str = "BE_ORDER_ID", sku: str = "SKU", qty: str = "PROD_QTY") -> DataFrame:
     """Order x SKU quantities in sparse form: one row per non-empty cell."""
-    return lines.groupBy(order, sku).agg(F.sum(qty).alias(qty))
+    keyed = lines.filter(F.col(order).isNotNull() & F.col(sku).isNotNull())
+    return keyed.groupBy(order, sku).agg(F.sum(qty).alias(qty))
 
 
 def basket_matrix(
@@ -111,7 +112,8 @@ def basket_matrix(
         skus = [r[0] for r in found if r[0] is not None]
     if len(skus) > max_columns:
         raise ValueError(f"more than {max_columns} columns: use basket_long")
-    return zero_fill(lines.groupBy(order).pivot(sku, list(skus)).agg(F.sum(qty)))
+    matrix = lines.filter(F.col(order).isNotNull()).groupBy(order).pivot(sku, list(skus)).agg(F.sum(qty))
+    return zero_fill(matrix, matrix.columns[1:])
 
 
 def heaviest_users(

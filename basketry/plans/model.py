@@ -17,7 +17,7 @@ from ..operators.joins import exclude_seen
 from ..operators.metrics import ranking_metrics, roem
 from ..operators.ordered import dense_ids, top_k
 from ..operators.splits import fold_pair
-from ..session import checkpoint_root
+from ..session import checkpoint_root, freeze
 
 # The default hyper-parameters and list length.
 DEFAULTS = {"rank": 10, "max_iter": 10, "reg": 0.05, "alpha": 50.0}
@@ -133,19 +133,18 @@ def recommend_unseen(
     seen = seen.select("user", "item").distinct()
     counts = seen.groupBy("user").agg(F.count(F.lit(1)).alias("__seen"))
     counted = users.select("user").distinct().join(counts, "user", "left").fillna(0, ["__seen"])
-    counted = counted.persist()
-    longest = counted.agg(F.max("__seen")).first()[0] or 0
+    # Upper bound of the tier: 0, 16, 64, 256, ...
+    bound = F.when(F.col("__seen") == 0, F.lit(0)).otherwise(
+        F.lit(16) * F.pow(F.lit(4), F.ceil(F.greatest(F.log(4.0, F.col("__seen") / 16), F.lit(0.0))))
+    )
+    tiered = freeze(counted.select("user", bound.cast("long").alias("__bound")))
+    bounds = [row[0] for row in tiered.select("__bound").distinct().collect()]
     n_items = model.itemFactors.count()
-    bounds = [0, 16]
-    while bounds[-1] < longest:
-        bounds.append(bounds[-1] * 4)
-    tiers = []
-    for low, high in zip([-1, *bounds], bounds):
-        if low >= longest:
-            break
-        tier = counted.filter((F.col("__seen") > low) & (F.col("__seen") <= high))
-        tiers.append(flatten_recs(recommend(model, tier, min(k + high, n_items))))
-    candidates = reduce(DataFrame.unionByName, tiers)
+    lists = [
+        recommend(model, tiered.filter(F.col("__bound") == b), min(k + b, n_items))
+        for b in sorted(bounds) or [0]
+    ]
+    candidates = flatten_recs(reduce(DataFrame.unionByName, lists))
     return top_k(exclude_seen(candidates, seen), k)
 
 
@@ -162,15 +161,18 @@ def evaluate_model(
     ``unseen`` ranks all items the user does not have in ``train``. ``observed`` ranks only the
     held-out pairs themselves, where every listed item is a hit.
     """
-    observed = score_pairs(model, held)
-    if candidates == "observed":
-        ranked = observed
-    elif candidates == "unseen":
-        ranked = recommend_unseen(model, train, k, users=held.select("user"))
-    else:
+    if candidates not in ("unseen", "observed"):
         raise ValueError("candidates is 'unseen' or 'observed'")
-    row = ranking_metrics(held, ranked, k).first().asDict()
-    row["roem"] = roem(observed).first()["roem"]
+    observed = score_pairs(model, held).persist()
+    try:
+        if candidates == "observed":
+            ranked = observed
+        else:
+            ranked = recommend_unseen(model, train, k, users=held.select("user"))
+        row = ranking_metrics(held, ranked, k).first().asDict()
+        row["roem"] = roem(observed).first()["roem"]
+    finally:
+        observed.unpersist()
     return row
 
 

@@ -35,7 +35,7 @@ def normal_rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     columns = [frame[c].astype(object).tolist() for c in frame.columns]
     rows = [tuple(_cell(v) for v in row) for row in zip(*columns)]
-    return sorted(rows, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
+    return sorted(rows, key=lambda r: tuple((v is not None, v if v is not None else 0) for v in r))
 
 
 def kinds(frame: pd.DataFrame) -> dict[str, str]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators.metrics import (
     diversity_metrics,
+    evaluate,
     mean_average_precision,
     ranking_metrics,
     roem,
@@ -20,6 +21,7 @@ from basketry.operators.pairs import item_similarity
 from basketry.operators.stats import hit_percentile_range
 from basketry.plans.model import as_lists, flatten_recs, flatten_recs_sql, select_best
 from basketry.plans.scenarios import popularity
+from basketry.session import freeze
 
 from .inputs import K, EventInputs, ev, r6, table
 from .registry import part, query
@@ -69,15 +71,15 @@ def q012(spark, sf_dir):
 
 @query(
     "o013_derived_product",
-    'SELECT "user", item, round(prediction * rank_pct, 6) AS score_rank, round(rating * rank_pct, 6) AS item_rank FROM ev_rank_pct',
+    'SELECT "user", item, prediction * rank_pct AS score_rank, rating * rank_pct AS item_rank FROM ev_rank_pct',
 )
 def q013(spark, sf_dir):
     ranked = avg_rank_pct(EventInputs(spark, sf_dir).rated())
     return ranked.select(
         "user",
         "item",
-        r6(F.col("prediction") * F.col("rank_pct")).alias("score_rank"),
-        r6(F.col("rating") * F.col("rank_pct")).alias("item_rank"),
+        (F.col("prediction") * F.col("rank_pct")).alias("score_rank"),
+        (F.col("rating") * F.col("rank_pct")).alias("item_rank"),
     )
 
 
@@ -144,6 +146,12 @@ mean_query("o075_map", "map", "map_at_k")
 mean_query("o072_ranking_metrics", *METRIC_NAMES)
 
 
+@query("o082_evaluate", "SELECT round(avg(ndcg_at_k), 6) AS ndcg_at_k FROM ev_user_metrics")
+def q082(spark, sf_dir):
+    inputs = EventInputs(spark, sf_dir)
+    return evaluate(inputs.truth, inputs.preds(), "ndcg_at_k", K).withColumn("ndcg_at_k", r6("ndcg_at_k"))
+
+
 @query(
     "o072_user_ranking_metrics",
     'SELECT "user", ' + ", ".join(f"round({n}, 6) AS {n}" for n in METRIC_NAMES) + " FROM ev_user_metrics",
@@ -304,7 +312,7 @@ def q089(spark, sf_dir):
 )
 def q085_all(spark, sf_dir):
     inputs = EventInputs(spark, sf_dir)
-    metrics = diversity_metrics(inputs.train, inputs.top(), inputs.similarity)
+    metrics = diversity_metrics(inputs.train, freeze(inputs.top()), inputs.similarity)
     return metrics.withColumns({c: r6(c) for c in COVERAGE_SQL})
 
 

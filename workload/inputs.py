@@ -15,6 +15,7 @@ from basketry.operators.ordered import top_k
 from basketry.operators.pairs import item_similarity, score_by_similarity
 from basketry.operators.splits import chrono_split
 from basketry.plans.training import held_out_pairs
+from basketry.session import freeze
 from basketry.sources import read_orders
 
 from .registry import part
@@ -56,11 +57,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     product, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
-    joined = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(product, F.col("l_partkey") == F.col("p_partkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    # Dimensions meet first: the line table is only shuffled by order and by product.
+    buyer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    purchase = order.join(buyer, F.col("o_custkey") == F.col("c_custkey"))
+    joined = line.join(purchase, F.col("l_orderkey") == F.col("o_orderkey")).join(
+        product, F.col("l_partkey") == F.col("p_partkey")
     )
     own = F.col("l_partkey")
     family = F.when(own % 3 != 0, own - own % 3)
@@ -262,17 +263,18 @@ FROM ev_preds p LEFT JOIN ev_later l ON l."user" = p."user" AND l.item = p.item
 
 
 class EventInputs:
-    """The event-based frames; the training pairs and their similarity are stored once."""
+    """The event-based frames. Those that several steps read are stored once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         halves = chrono_split(
             ev(spark, sf_dir), "user", "ts", (0.6, 0.4), ["event_id"], names=("early", "later")
         )
-        self.train = halves.filter(F.col("split") == "early").select("user", "item").distinct()
-        later = halves.filter(F.col("split") == "later")
-        self.later = later.groupBy("user", "item").agg(F.count(F.lit(1)).alias("rating"))
+        early = F.col("split") == "early"
+        self.train = freeze(halves.filter(early).select("user", "item").distinct())
+        later = halves.filter(~early).groupBy("user", "item")
+        self.later = later.agg(F.count(F.lit(1)).alias("rating"))
         self.truth = exclude_seen(self.later, self.train)
-        self.similarity = item_similarity(self.train)
+        self.similarity = freeze(item_similarity(self.train))
 
     def scores(self) -> DataFrame:
         return score_by_similarity(self.train, self.similarity)
