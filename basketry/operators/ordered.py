@@ -47,7 +47,7 @@ def split_hot(
     if not found:
         return df, None
     if len(found) <= MAX_LITERAL_KEYS:
-        keys = df.sparkSession.createDataFrame(found, hot.schema)
+        keys = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
     else:
         keys = freeze(hot)
     match = same_key(group, "__hot_")

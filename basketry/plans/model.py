@@ -54,11 +54,15 @@ def fit_als(
     seed: int = 1,
     blocks: int | None = None,
 ) -> ALSModel:
-    """Fit on (user int, item int, rating). The block count follows the cluster's parallelism."""
+    """Fit on (user int, item int, rating).
+
+    The block count follows the cluster's parallelism up to 1,000: every iteration exchanges data
+    between all pairs of blocks.
+    """
     spark = train.sparkSession
     checkpoint_root(spark)  # the iterations cut their lineage there
     if blocks is None:
-        blocks = max(10, spark.sparkContext.defaultParallelism)
+        blocks = min(max(10, spark.sparkContext.defaultParallelism), 1_000)
     als = ALS(
         userCol="user",
         itemCol="item",
@@ -125,7 +129,7 @@ def recommend_unseen(
     """Exactly the k best unseen items per user.
 
     A user with s seen items needs the best k + s to be sure of k unseen ones. Users are handled in
-    tiers of similar s (each tier four times the one before), so long histories make only their own
+    tiers of similar s (each tier twice the one before), so long histories make only their own
     lists longer, and nothing has to be repeated or cut.
     """
     if users is None:
@@ -133,10 +137,9 @@ def recommend_unseen(
     seen = seen.select("user", "item").distinct()
     counts = seen.groupBy("user").agg(F.count(F.lit(1)).alias("__seen"))
     counted = users.select("user").distinct().join(counts, "user", "left").fillna(0, ["__seen"])
-    # Upper bound of the tier: 0, 16, 64, 256, ...
-    bound = F.when(F.col("__seen") == 0, F.lit(0)).otherwise(
-        F.lit(16) * F.pow(F.lit(4), F.ceil(F.greatest(F.log(4.0, F.col("__seen") / 16), F.lit(0.0))))
-    )
+    # Upper bound of the tier: 0, 16, 32, 64, ...
+    doublings = F.ceil(F.log2(F.greatest(F.col("__seen") / 16, F.lit(1.0))))
+    bound = F.when(F.col("__seen") == 0, F.lit(0)).otherwise(F.lit(16) * F.pow(F.lit(2), doublings))
     tiered = freeze(counted.select("user", bound.cast("long").alias("__bound")))
     bounds = [row[0] for row in tiered.select("__bound").distinct().collect()]
     n_items = model.itemFactors.count()
@@ -169,7 +172,8 @@ def evaluate_model(
             ranked = observed
         else:
             ranked = recommend_unseen(model, train, k, users=held.select("user"))
-        row = ranking_metrics(held, ranked, k).first().asDict()
+        unique = candidates == "unseen"
+        row = ranking_metrics(held, ranked, k, unique=unique).first().asDict()
         row["roem"] = roem(observed).first()["roem"]
     finally:
         observed.unpersist()

@@ -135,7 +135,7 @@ def mean_query(key: str, *names: str) -> None:
     @query(key, f"SELECT count(*) AS users, {wanted} FROM ev_user_metrics")
     def run(spark, sf_dir):
         inputs = EventInputs(spark, sf_dir)
-        metrics = ranking_metrics(inputs.truth, inputs.preds(), K)
+        metrics = ranking_metrics(inputs.truth, inputs.preds(), K, unique=True)
         return metrics.select("users", *[r6(n).alias(n) for n in names])
 
 
@@ -149,7 +149,7 @@ mean_query("o072_ranking_metrics", *METRIC_NAMES)
 @query("o082_evaluate", "SELECT round(avg(ndcg_at_k), 6) AS ndcg_at_k FROM ev_user_metrics")
 def q082(spark, sf_dir):
     inputs = EventInputs(spark, sf_dir)
-    return evaluate(inputs.truth, inputs.preds(), "ndcg_at_k", K).withColumn("ndcg_at_k", r6("ndcg_at_k"))
+    return evaluate(inputs.truth, inputs.preds(), "ndcg_at_k", K, unique=True).withColumn("ndcg_at_k", r6("ndcg_at_k"))
 
 
 @query(
@@ -158,7 +158,7 @@ def q082(spark, sf_dir):
 )
 def q072_users(spark, sf_dir):
     inputs = EventInputs(spark, sf_dir)
-    per_user = user_ranking_metrics(inputs.truth, inputs.preds(), K)
+    per_user = user_ranking_metrics(inputs.truth, inputs.preds(), K, unique=True)
     return per_user.withColumns({n: r6(n) for n in METRIC_NAMES})
 
 
@@ -177,7 +177,7 @@ LEFT JOIN (SELECT "user", sum(nth / CAST(rank AS DOUBLE)) AS total
 )
 def q075_full(spark, sf_dir):
     inputs = EventInputs(spark, sf_dir)
-    return mean_average_precision(inputs.truth, inputs.preds()).withColumn("map", r6("map"))
+    return mean_average_precision(inputs.truth, inputs.preds(), unique=True).withColumn("map", r6("map"))
 
 
 ROEM_SQL = """
