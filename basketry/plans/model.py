@@ -34,7 +34,11 @@ RESULT_SCHEMA = (
 def encode_pairs(
     prefs: DataFrame, user: str, item: str, rating: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs with int ``user`` and ``item`` and double ``rating``, user key table, item key table)."""
+    """(pairs with int ``user`` and ``item`` and double ``rating``, user key table, item key table).
+
+    The preferences are read three times, so they are stored first.
+    """
+    prefs = freeze(prefs.select(user, item, rating))
     users = dense_ids(prefs, user, "__user")
     items = dense_ids(prefs, item, "__item")
     pairs = prefs.join(users, user).join(items, item).select(

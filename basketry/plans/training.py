@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import decay_weight, resolve_parent, split_group
 from ..operators.filters import filter_category, filter_orders
-from ..sources import register
+from ..operators.splits import chrono_split
+from ..session import scratch_path
+from ..sources import read_orders, register, write_frame
 
 USER, ITEM = "CUST_ID", "PROD_TITLE_PARENT_PROD_ID"
 
@@ -67,6 +69,17 @@ def decayed_preferences(
     return preferences(filter_category(decay_weight(lines, t_ref=t_ref), pattern), min_total)
 
 
+def stored_split(lines: DataFrame, name: str = "split-lines", **split_options) -> DataFrame:
+    """``chrono_split`` written once, one folder per part, and read back.
+
+    Training, validation and the reference date of the decay all read the split; a written table
+    keeps the ordering work from being repeated for each, and a filter on ``split`` reads one folder.
+    """
+    spark = lines.sparkSession
+    path = write_frame(chrono_split(lines, **split_options), scratch_path(spark, name), partition_by=["split"])
+    return read_orders(spark, path)
+
+
 def held_out_pairs(
     lines: DataFrame, user: str = USER, item: str = ITEM, qty: str = "PROD_QTY", out: str = "rating"
 ) -> DataFrame:

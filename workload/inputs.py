@@ -14,7 +14,7 @@ from basketry.operators.joins import exclude_seen
 from basketry.operators.ordered import top_k
 from basketry.operators.pairs import item_similarity, score_by_similarity
 from basketry.operators.splits import chrono_split
-from basketry.plans.training import held_out_pairs
+from basketry.plans.training import held_out_pairs, stored_split
 from basketry.session import freeze
 from basketry.sources import read_orders
 
@@ -164,12 +164,18 @@ FROM split_lines WHERE split = '{_name}' GROUP BY ALL
     )
 
 
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = resolved(spark, sf_dir)
+    wanted = ["CUST_ID", "ORDER_DT", "PROD_TITLE_PARENT_PROD_ID", *TIEBREAK]
+    return stored_split(lines.select(*wanted), tiebreak=TIEBREAK)
+
+
 def part_pairs(lines: DataFrame, name: str) -> DataFrame:
     return as_pairs(lines.filter(F.col("split") == name))
 
 
 def train_valid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = split_lines(spark, sf_dir)
+    lines = stored_lines(spark, sf_dir)
     return part_pairs(lines, "train"), part_pairs(lines, "valid")
 
 

@@ -19,7 +19,7 @@ from basketry.plans.training import decayed_preferences, market_lines, preferenc
 from basketry.session import scratch_path
 from basketry.sources import concat_frames, read_orders, read_text_table, register, write_frame
 
-from .inputs import order_lines, r6, resolved, split_lines, table
+from .inputs import order_lines, r6, resolved, split_lines, stored_lines, table
 from .registry import part, query
 
 SITE, COUNTRY, BRANDS = "BUILDING", "NATION_7", ("Brand#1", "Brand#2")
@@ -45,7 +45,7 @@ SELECT CUST_ID, BE_ORDER_ID, PROD_ID, PROD_QTY, split FROM split_lines
 )
 def q002(spark, sf_dir):
     lines = split_lines(spark, sf_dir).select("CUST_ID", "BE_ORDER_ID", "PROD_ID", "PROD_QTY", "split")
-    path = write_frame(lines, scratch_path(spark, "split_lines"), partition_by=["split"])
+    path = write_frame(lines, scratch_path(spark, "written-lines"), partition_by=["split"])
     return read_orders(spark, path)
 
 
@@ -172,7 +172,7 @@ FROM split_lines WHERE split = 'train'
 """,
 )
 def q011(spark, sf_dir):
-    train = split_lines(spark, sf_dir).filter(F.col("split") == "train")
+    train = stored_lines(spark, sf_dir).filter(F.col("split") == "train")
     weighted = decay_weight(train)
     return weighted.select(
         "CUST_ID", "BE_ORDER_ID", "LINE_NO", "PROD_ID", "PROD_QTY", r6("Timedecay").alias("Timedecay")
