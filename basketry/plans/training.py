@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decay_weight, resolve_parent, split_group
 from ..operators.filters import filter_category, filter_orders
 from ..operators.splits import chrono_split
 from ..session import scratch_path
-from ..sources import read_orders, register, write_frame
+from ..sources import read_orders, write_frame
 
 USER, ITEM = "CUST_ID", "PROD_TITLE_PARENT_PROD_ID"
 
@@ -44,24 +44,6 @@ def preferences(
     return totals if min_total is None else totals.filter(F.col("PROD_QTY_SUM") > min_total)
 
 
-def preferences_sql(spark: SparkSession, lines: DataFrame, view: str, pattern: str, min_total: float = 2) -> DataFrame:
-    """The same table as SQL text over a registered view."""
-    register(lines, view)
-    return spark.sql(
-        f"""
-        SELECT CUST_ID, PROD_TITLE_PARENT_PROD_ID,
-               sum(PROD_QTY) AS PROD_QTY_SUM,
-               max(ORDER_DT) AS PARENT_PROD_LAST_ORDER_DT,
-               sum(Timedecay) AS Timedecay_SUM
-        FROM {view}
-        WHERE PGG_PROD_GRP LIKE :pattern
-        GROUP BY CUST_ID, PROD_TITLE_PARENT_PROD_ID
-        HAVING PROD_QTY_SUM > :min_total
-        """,
-        args={"pattern": pattern, "min_total": min_total},
-    )
-
-
 def decayed_preferences(
     lines: DataFrame, pattern: str, min_total: float | None = 2, t_ref: Column | None = None
 ) -> DataFrame:

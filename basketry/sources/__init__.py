@@ -1,3 +1,3 @@
-from .tables import concat_frames, read_orders, read_text_table, register, write_frame
+from .tables import concat_frames, query_view, read_orders, read_text_table, register, write_frame
 
-__all__ = ["concat_frames", "read_orders", "read_text_table", "register", "write_frame"]
+__all__ = ["concat_frames", "query_view", "read_orders", "read_text_table", "register", "write_frame"]

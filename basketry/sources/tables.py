@@ -38,6 +38,12 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def query_view(df: DataFrame, name: str, text: str, **args) -> DataFrame:
+    """Register ``df`` as ``name`` and run SQL text over it; ``:key`` in the text takes ``args[key]``."""
+    register(df, name)
+    return df.sparkSession.sql(text, args=args)
+
+
 def concat_frames(
     *dfs: DataFrame, row_id: str | None = None, order: Sequence[Column] = ()
 ) -> DataFrame:

@@ -42,9 +42,9 @@ from basketry.operators.stats import (
     top_customers,
     value_counts,
 )
-from basketry.plans.training import preferences, preferences_sql
+from basketry.plans.training import preferences
 from basketry.session import scratch_path
-from basketry.sources import concat_frames, read_orders, read_text_table, register, write_frame
+from basketry.sources import concat_frames, query_view, read_orders, read_text_table, register, write_frame
 
 
 def rows(df):
@@ -153,7 +153,8 @@ def test_view_and_sql_preferences(spark):
     )
     want = [(1, 5, 3.0, datetime(2021, 2, 1), 1.5)]
     assert rows(preferences(filter_category(df, "%Beauty%"))) == want
-    assert rows(preferences_sql(spark, df, "lines_for_test", "%Beauty%")) == want
+    text = "SELECT sum(PROD_QTY) AS q FROM lines_for_test WHERE PGG_PROD_GRP LIKE :category"
+    assert rows(query_view(df, "lines_for_test", text, category="%Tools%")) == [(9.0,)]
     assert register(df, "again") is df and spark.table("again").count() == 4
 
 

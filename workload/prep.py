@@ -15,9 +15,9 @@ from basketry.functions import (
     zero_fill,
 )
 from basketry.operators.filters import filter_category, filter_orders, null_rows, restrict_to_keys
-from basketry.plans.training import decayed_preferences, market_lines, preferences, preferences_sql
+from basketry.plans.training import decayed_preferences, market_lines, preferences
 from basketry.session import scratch_path
-from basketry.sources import concat_frames, read_orders, read_text_table, register, write_frame
+from basketry.sources import concat_frames, query_view, read_orders, read_text_table, register, write_frame
 
 from .inputs import order_lines, r6, resolved, split_lines, stored_lines, table
 from .registry import part, query
@@ -341,10 +341,21 @@ def q045(spark, sf_dir):
     return rounded_preferences(decayed_preferences(resolved(spark, sf_dir), CATEGORY))
 
 
-@query("o047_preferences_sql", PREFERENCES_SQL.format(source="resolved"))
+PAIR_TOTALS = """
+WITH pair_totals AS (
+    SELECT CUST_ID, PROD_TITLE_PARENT_PROD_ID, sum(PROD_QTY) AS PROD_QTY_SUM,
+           max(ORDER_DT) AS PARENT_PROD_LAST_ORDER_DT, sum(Timedecay) AS decayed
+    FROM weighted_lines WHERE PGG_PROD_GRP LIKE :category
+    GROUP BY ALL
+)
+SELECT * EXCEPT (decayed), round(decayed, 6) AS Timedecay_SUM FROM pair_totals WHERE PROD_QTY_SUM > :least
+"""
+
+
+@query("o047_query_view", PREFERENCES_SQL.format(source="resolved"))
 def q047(spark, sf_dir):
     weighted = decay_weight(resolved(spark, sf_dir))
-    return rounded_preferences(preferences_sql(spark, weighted, "weighted_lines", CATEGORY))
+    return query_view(weighted, "weighted_lines", PAIR_TOTALS, category=CATEGORY, least=2)
 
 
 def flagship(spark, sf_dir):
