@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from ..session import scratch_path
 
@@ -34,8 +35,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_and(row: DataType, fields: str) -> StructType:
+    """A schema of a passed-through ``row`` and further fields."""
+    return StructType([StructField("row", row), *StructType.fromDDL(fields)])
+
+
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """``df`` through ``fn``, one Arrow batch at a time."""
 
@@ -58,6 +64,18 @@ def by_weight(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
+NO_ID = -(2**63)
+
+
+def order_id(key: str) -> Column:
+    """The integer id with NULL as a number below every other."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+
+
+def given_id(col: Column | str) -> Column:
+    return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(NO_ID))
+
+
 def sha256_text(col: Column) -> Column:
     """Lowercase hex SHA-256 of the UTF-8 bytes."""
     return F.sha2(F.encode(col, "UTF-8"), 256)

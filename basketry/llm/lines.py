@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import order_id, stored
 
 FANOUT = 3
 BATCHES = 4
@@ -123,7 +123,7 @@ def drop_repeated_lines(
     repeated under one id count as one document, and each of them is cleaned. Columns named
     ``n_lines`` or ``n_dropped`` are replaced; others are passed through.
     """
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    doc = order_id(key)
     text_key = F.xxhash64(text)
     rows = docs.select(doc.alias("doc"), text_key.alias("text_key"), F.col(text).alias("text"))
     dropped = repeated_lines(rows, batches, fanout, min_chars)

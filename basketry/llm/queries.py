@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .bpe import encode_texts
-from .common import read_table, sha256_text
+from .common import given_id, read_table, sha256_text
+from .contamination import contaminated, measure_contamination
 from .lines import drop_repeated_lines
+from .near import group_near_duplicates
 from .quality import judge_quality
 from .sharding import shard_rows
 from .warc import read_pages, write_archives
@@ -58,6 +60,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", sha256_text(F.col("text")).alias("kept_sha256"))
 
 
+@query("op2_minhash_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = group_near_duplicates(read_table(spark, sf_dir, "documents"))
+    return groups.select(
+        given_id("doc").alias("doc_id"),
+        "n_shingles",
+        given_id("component_id").alias("component_id"),
+        (F.col("doc") == F.col("component_id")).alias("kept"),
+    )
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -75,6 +88,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = measure_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256_text(F.array_join("items", ",")).alias("items_sha256"),
+        contaminated().alias("contaminated"),
+    )
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read_table(spark, sf_dir, "documents")).drop("text_key")
