@@ -16,6 +16,7 @@ from .lines import drop_repeated_lines
 from .near import group_near_duplicates
 from .quality import judge_quality
 from .sharding import shard_rows
+from .substrings import drop_repeated_spans
 from .warc import read_pages, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +72,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_repeated_spans(read_table(spark, sf_dir, "documents"))
+    return cleaned.select("row.doc_id", "n_words", "n_removed", sha256_text(F.col("kept")).alias("kept_sha256"))
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
