@@ -15,6 +15,7 @@ from .contamination import contaminated, measure_contamination
 from .lines import drop_repeated_lines
 from .near import group_near_duplicates
 from .quality import judge_quality
+from .secrets import count_kind, find_secrets, span_text
 from .sharding import shard_rows
 from .substrings import drop_repeated_spans
 from .warc import read_pages, write_archives
@@ -72,6 +73,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_kind("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_repeated_spans(read_table(spark, sf_dir, "documents"))
