@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -55,7 +56,7 @@ def map_batches(
 def by_weight(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Cut rows into runs (from, to) of about ``limit`` characters, one row at least."""
     total, first = 0, 0
-    for i, n in enumerate(pa.compute.binary_length(texts).to_pylist()):
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
         if total and total + (n or 0) > limit:
             yield first, i
             total, first = 0, i

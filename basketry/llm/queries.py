@@ -14,6 +14,7 @@ from .common import given_id, read_table, sha256_text
 from .contamination import contaminated, measure_contamination
 from .lines import drop_repeated_lines
 from .near import group_near_duplicates
+from .pii import KINDS, find_personal_data
 from .quality import judge_quality
 from .secrets import count_kind, find_secrets, span_text
 from .sharding import shard_rows
@@ -90,6 +91,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", "n_words", "n_removed", sha256_text(F.col("kept")).alias("kept_sha256"))
 
 
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[count_kind("base", k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")

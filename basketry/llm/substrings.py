@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def cut_fragments(docs: DataFrame, shared: DataFrame, span: int) -> DataFrame:
         for w in words_of(batch.column("text"), VISIBLE, False):
             lists = cuts.slice(w.at, w.rows)
             flat = lists.flatten()
-            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(w.rows), n)
             pos = flat.field("pos").to_numpy()
             size = flat.field("windows").to_numpy() + span - 1

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.bpe import encode_texts
 from basketry.llm.common import read_table, stored
+from basketry.llm.contamination import keep_clean
 from basketry.llm.lines import drop_repeated_lines
+from basketry.llm.near import keep_one
 from basketry.llm.quality import keep_good
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,6 +28,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return drop_repeated_lines(docs).select(*COLUMNS)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every group of near duplicates."""
+    return keep_one(docs).select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    return keep_clean(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     return encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -34,6 +46,8 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", good),
     ("line_dedup", without_repeated_lines),
+    ("minhash_near_dedup", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
     ("bpe", as_tokens),
 ]
 
