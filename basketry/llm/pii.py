@@ -129,7 +129,7 @@ def field_of(texts: list[str], spans: list[list[tuple[int, int, int]]]) -> Field
             last_end = b
             key = re.sub(r"[^0-9a-z]", "", m[0].lower())
             if len(key) >= 4:
-                if key in seen and seen[key] != i - 1:
+                if key in seen and chain[-1:] != [(seen[key], i)]:
                     skip.append((seen[key], i))
                 seen[key] = i
     pairs = [np.array(x, np.int64).reshape(-1, 2) for x in (chain, skip)]
