@@ -145,7 +145,7 @@ def test_personal_data(docs, corpus):
 def test_field_carries_labels_to_repeated_tokens():
     import numpy as np
 
-    texts = ["id 5550001234 then more text and 5550001234 again"]
+    texts = ["no: 5550001234 then more text and 5550001234 again"]
     field = pii.field_of(texts, [[]])
     assert field.skip.tolist() == [[0, 1]]
     w = pii.Weights(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), 3.0 * np.eye(5))
