@@ -60,24 +60,23 @@ def dense_grid(
     user: str,
     item: str,
     measures: Sequence[str],
-    max_items: int = 10_000,
-    items: Sequence | None = None,
+    items: Sequence,
 ) -> DataFrame:
-    """Every user with every item, measures summed, absent pairs 0.
+    """Every user of ``facts`` with every one of ``items``, measures summed, absent pairs 0.
 
-    The facts are aggregated first, then each user's cells become one map that is read at every
-    item. Work grows with the output alone: there is one shuffle and no join. The item axis has to
-    be short, because each user is repeated that often, so a longer one is refused; use
-    ``lookup_cells`` or the sparse frame there.
+    The facts are aggregated first, then each user's cells on the axis become one map that is read
+    at every item. Work grows with the output alone: there is one shuffle and no join. NULL users
+    and NULL items are on neither axis. For an open axis use ``lookup_cells`` or the sparse frame.
     """
-    if items is None:
-        found = facts.select(item).distinct().orderBy(item).limit(max_items + 1).collect()
-        items = [r[0] for r in found]
-    if len(items) > max_items:
-        raise ValueError(f"more than {max_items} items: use lookup_cells instead of a dense grid")
     item_type = facts.schema[item].dataType
-    cells = facts.groupBy(user, item).agg(*[F.sum(m).alias(m) for m in measures])
-    # At most one entry per item, so the map is bounded by the length of the axis.
+    axis = F.array(*[F.lit(i).cast(item_type) for i in dict.fromkeys(items) if i is not None])
+    axis = axis if len(items) else axis.cast(f"array<{item_type.simpleString()}>")
+    on_axis = F.array_contains(axis, F.col(item))
+    known = facts.filter(F.col(user).isNotNull())
+    cells = known.groupBy(user, F.when(on_axis, F.col(item)).alias(item)).agg(
+        *[F.sum(m).alias(m) for m in measures]
+    )
+    # At most one entry per item of the axis, whatever else the user has.
     per_user = cells.groupBy(user).agg(
         F.map_from_entries(
             F.collect_list(
@@ -85,7 +84,6 @@ def dense_grid(
             )
         ).alias("__cells")
     )
-    axis = F.array(*[F.lit(i).cast(item_type) for i in items if i is not None])
     rows = per_user.select(user, F.explode(axis).alias(item), "__cells")
     cell = F.try_element_at("__cells", F.col(item))
     return rows.select(

@@ -60,24 +60,30 @@ def coverage(train: DataFrame, reco: DataFrame, item: str = "item") -> DataFrame
     """One row: catalog_coverage and distributional_coverage (entropy in bits)."""
     n_train = train.select(F.count_distinct(item)).scalar()
     total = reco.select(F.count(F.lit(1))).scalar()
-    share = F.col("n") / total
+    share = F.col("n") / F.nullif(total, F.lit(0).cast("long"))
     per_item = reco.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     return per_item.agg(
         F.count(F.lit(1)).alias("__items"), (-F.sum(share * F.log2(share))).alias("distributional_coverage")
-    ).select((F.col("__items") / n_train).alias("catalog_coverage"), "distributional_coverage")
+    ).select(
+        (F.col("__items") / F.nullif(n_train, F.lit(0).cast("long"))).alias("catalog_coverage"),
+        "distributional_coverage",
+    )
 
 
 def novelty(train: DataFrame, reco: DataFrame, item: str = "item") -> DataFrame:
     """One row: mean information, in bits, of the recommended items' share of the training rows.
 
-    Both frames are counted per item before they meet.
+    Recommended rows of an item without a training row have no such share; ``untrained`` counts
+    them. Both frames are counted per item before they meet.
     """
-    rows = train.select(F.count(F.lit(1))).scalar()
+    rows = F.nullif(train.select(F.count(F.lit(1))).scalar(), F.lit(0).cast("long"))
     seen = train.groupBy(item).agg(F.count(F.lit(1)).alias("seen"))
     listed = reco.groupBy(item).agg(F.count(F.lit(1)).alias("listed"))
     bits = -F.log2(F.col("seen") / rows)
-    return listed.join(seen, item).agg(
-        (F.sum(F.col("listed") * bits) / F.sum("listed")).alias("novelty")
+    known = F.when(F.col("seen").isNotNull(), F.col("listed"))
+    return listed.join(seen, item, "left").agg(
+        (F.sum(known * bits) / F.sum(known)).alias("novelty"),
+        F.coalesce(F.sum(F.when(F.col("seen").isNull(), F.col("listed"))), F.lit(0)).alias("untrained"),
     )
 
 
@@ -97,7 +103,7 @@ def diversity_metrics(
     return coverage(train, reco, item).select(
         "catalog_coverage",
         "distributional_coverage",
-        novelty(train, reco, item).scalar().alias("novelty"),
+        novelty(train, reco, item).select("novelty").scalar().alias("novelty"),
         mean_diversity.alias("diversity"),
         surprise.agg(F.avg("serendipity")).scalar().alias("serendipity"),
     )

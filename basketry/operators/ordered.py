@@ -232,22 +232,27 @@ def top_k(
     return kept.withColumnRenamed("__rank", rank)
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles per column (``column``, ``q_0``, ``q_1``, ...).
-
-    Equal values are counted first; the counted values are then ranked over value ranges, so no
-    task holds a whole column.
-    """
+def value_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column, value, n``: the distinct values of every column with their number of rows."""
     cells = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     )
-    levels = (
+    return (
         df.select(cells.alias("cell"))
         .select("cell.*")
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Interpolated quantiles per column (``column``, ``q_0``, ``q_1``, ...)."""
+    return level_quantiles(value_levels(df, cols), probs)
+
+
+def level_quantiles(levels: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """The same from counted values, ranked over value ranges, so no task holds a whole column."""
     ranked = _running_over_ranges(levels, ["column"], [F.col("value").asc()], {"n": F.col("n")})
 
     def value_at(index: Column) -> Column:

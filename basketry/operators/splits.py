@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import freeze
 from .ordered import HOT_ROWS, positions
 
 # Fixed values of the integer fold formula: coefficients and modulus.
@@ -58,12 +59,13 @@ def kfold(
 ) -> DataFrame:
     """Fold number of each row, a pure function of its keys: the same on any layout or retry.
 
-    Two integer keys use the arithmetic formula, other keys Spark's 64-bit hash.
+    Two integer keys use the arithmetic formula, in which NULL counts as 0, other keys Spark's
+    64-bit hash. Every row gets a fold.
     """
     types = dict(df.dtypes)
     integral = {"tinyint", "smallint", "int", "bigint"}
     if len(keys) == 2 and all(types[c] in integral for c in keys):
-        u, i = (F.pmod(F.col(c).cast("long"), F.lit(FOLD_MODULUS)) for c in keys)
+        u, i = (F.coalesce(F.pmod(F.col(c).cast("long"), F.lit(FOLD_MODULUS)), F.lit(0)) for c in keys)
         mixed = u * FOLD_USER_FACTOR + i * FOLD_ITEM_FACTOR + F.lit(seed * FOLD_SEED_FACTOR)
         fold = F.pmod(F.pmod(mixed, F.lit(FOLD_MODULUS)), F.lit(k))
     else:
@@ -77,10 +79,17 @@ def fold_pair(df: DataFrame, fold: int, col: str = "fold") -> tuple[DataFrame, D
 
 
 def random_split(df: DataFrame, weights: Sequence[float], seed: int = 1) -> DataFrame:
-    """Weighted random parts, numbered in ``part``. Depends on the physical layout of ``df``."""
-    parts = df.randomSplit(list(weights), seed)
-    labelled = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
-    result = labelled[0]
-    for p in labelled[1:]:
-        result = result.unionByName(p)
-    return result
+    """Weighted random parts, numbered in ``part``; every row is in exactly one of them.
+
+    One pass draws a number per row and stores the labelled rows. The draw depends on the physical
+    layout of ``df``.
+    """
+    total, edge = float(sum(weights)), 0.0
+    label = F.lit(len(weights) - 1)
+    edges = []
+    for w in weights[:-1]:
+        edge += w / total
+        edges.append(edge)
+    for i in reversed(range(len(edges))):
+        label = F.when(F.col("__draw") < edges[i], i).otherwise(label)
+    return freeze(df.withColumn("__draw", F.rand(seed)).withColumn("part", label).drop("__draw"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import format_report, zero_fill
-from .ordered import exact_quantiles
+from ..session import freeze
+from .ordered import level_quantiles, value_levels
 
 
 def interaction_counts(df: DataFrame, user: str, item: str) -> DataFrame:
@@ -66,22 +67,24 @@ def value_counts(df: DataFrame, cols: str | Sequence[str], ordered: bool = True)
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per numeric column."""
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"),
-            F.max(F.col(c).cast("double")).alias("max"),
-        )
-        for c in cols
-    ]
-    summary = df.agg(F.array(*entries).alias("s")).select(F.inline("s"))
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    return summary.join(quartiles, "column", "left").select(
+    # Counted values hold all figures, so the input is read once.
+    levels = freeze(value_levels(df, cols))
+    n, value = F.col("n"), F.col("value")
+    means = levels.groupBy("column").agg(
+        F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    off = value - F.col("mean")
+    # Deviations are taken from the mean itself, which keeps large values exact.
+    spread = levels.join(F.broadcast(means), "column").groupBy("column").agg(
+        F.sqrt(F.sum(off * off * n) / F.nullif(F.sum("n") - 1, F.lit(0).cast("long"))).alias("std")
+    )
+    quartiles = level_quantiles(levels, [0.25, 0.5, 0.75])
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    found = names.join(means, "column", "left").join(spread, "column", "left").join(quartiles, "column", "left")
+    return found.select(
         "column",
-        "count",
+        F.coalesce("count", F.lit(0).cast("long")).alias("count"),
         "mean",
         "std",
         "min",
@@ -100,18 +103,16 @@ def basket_long(lines: DataFrame, order: str = "BE_ORDER_ID", sku: str = "SKU",
 
 def basket_matrix(
     lines: DataFrame,
+    skus: Sequence,
     order: str = "BE_ORDER_ID",
     sku: str = "SKU",
-    skus: Sequence | None = None,
     qty: str = "PROD_QTY",
-    max_columns: int = 1_000,
 ) -> DataFrame:
-    """Order x SKU matrix, one column per SKU, empty cells 0. Wider axes: ``basket_long``."""
-    if skus is None:
-        found = lines.select(sku).distinct().orderBy(sku).limit(max_columns + 1).collect()
-        skus = [r[0] for r in found if r[0] is not None]
-    if len(skus) > max_columns:
-        raise ValueError(f"more than {max_columns} columns: use basket_long")
+    """Order x SKU matrix with one column for each of ``skus``, empty cells 0.
+
+    Orders without any of them have a row of zeros; NULL orders have none. For an open axis use
+    ``basket_long``.
+    """
     matrix = lines.filter(F.col(order).isNotNull()).groupBy(order).pivot(sku, list(skus)).agg(F.sum(qty))
     return zero_fill(matrix, matrix.columns[1:])
 

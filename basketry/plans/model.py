@@ -8,6 +8,8 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import exclude_seen
 from ..operators.metrics import ranking_metrics, roem
-from ..operators.ordered import dense_ids, top_k
+from ..operators.ordered import dense_ids, running_totals, top_k
 from ..operators.splits import fold_pair
 from ..session import checkpoint_root, freeze
 
@@ -165,25 +167,82 @@ def evaluate_model(
 ) -> dict:
     """Ranking metrics and rank-ordering error of a fitted model on held-out pairs.
 
-    ``unseen`` ranks all items the user does not have in ``train``. ``observed`` ranks only the
-    held-out pairs themselves, where every listed item is a hit.
+    ``unseen`` ranks all items the user does not have in ``train``; held-out pairs that repeat a
+    training pair can never be listed and are left out of the truth. The rank-ordering error is
+    taken over the same full lists. ``observed`` ranks only the held-out pairs themselves, where
+    every listed item is a hit.
     """
     if candidates not in ("unseen", "observed"):
         raise ValueError("candidates is 'unseen' or 'observed'")
-    observed = score_pairs(model, held).persist()
-    try:
-        if candidates == "observed":
-            ranked = observed
-        else:
-            ranked = recommend_unseen(model, train, k, users=held.select("user"))
-        unique = candidates == "unseen"
-        row = ranking_metrics(held, ranked, k, unique=unique).first().asDict()
-        row["roem"] = roem(observed).first()["roem"]
-    finally:
-        observed.unpersist()
+    if candidates == "observed":
+        scored = freeze(score_pairs(model, held))
+        row = ranking_metrics(held, scored, k).first().asDict()
+        row["roem"] = roem(scored).first()["roem"]
+        return row
+    truth = freeze(exclude_seen(held, train))
+    ranked = recommend_unseen(model, train, k, users=truth.select("user"))
+    row = ranking_metrics(truth, ranked, k, unique=True).first().asDict()
+    placed = unseen_percentiles(model, train, truth)
+    total = F.nullif(F.sum("rating"), F.lit(0.0))
+    row["roem"] = placed.agg((F.sum(F.col("rating") * F.col("percent_rank")) / total).alias("r")).first()["r"]
     return row
 
 
+def unseen_percentiles(
+    model: ALSModel, seen: DataFrame, held: DataFrame, tile: int = 4_096, users_per_block: int = 4_096
+) -> DataFrame:
+    """``user, item, rating, percent_rank``: place of each held pair among all unseen items of its user.
+
+    0 is the best place. ``held`` has no seen pairs; pairs with an unknown user or item are dropped.
+    Blocks of users meet tiles of items in one bounded matrix product each, which returns how many
+    items of the tile score higher than each held pair; no user x item pairs are written.
+    """
+    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("uf"))
+    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("vf"))
+    users, items = freeze(users), freeze(items)
+    dot = F.aggregate(F.zip_with("uf", "vf", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        known = pairs.join(users, "user").join(items, "item")
+        return known.withColumn("score", dot).drop("uf", "vf")
+
+    wanted = scored(held.select("user", "item", F.col("rating").cast("double").alias("rating")))
+    wanted = freeze(wanted.withColumn("__seen", F.lit(0).cast("long")))
+    own = scored(seen.select("user", "item").distinct().join(wanted.select("user").distinct(), "user", "left_semi"))
+    own = own.select("item", "user", F.lit(0.0).alias("rating"), "score", F.lit(1).cast("long").alias("__seen"))
+    both = freeze(wanted.unionByName(own))
+    order = [F.col("score").desc(), F.col("__seen").asc(), F.col("item").asc()]
+    placed = running_totals(both, ["user"], order, {"seen": F.col("__seen")}).filter(F.col("__seen") == 0)
+
+    n_items = items.count()
+    tiles = max(1, -(-n_items // tile))
+    blocks = max(1, -(-wanted.select("user").distinct().count() // users_per_block))
+    left = wanted.join(users, "user").select(
+        "user", "item", "score", "uf", F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int").alias("block")
+    )
+    left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    right = items.select("vf", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int").alias("tile"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def count_better(pairs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        better = np.zeros(len(pairs), np.int64)
+        if len(part) and len(pairs):
+            matrix = np.stack(part["vf"].to_numpy())
+            for i in range(0, len(pairs), 512):
+                rows = pairs.iloc[i : i + 512]
+                score = rows["score"].to_numpy()[:, None]
+                all_scores = np.stack(rows["uf"].to_numpy()) @ matrix.T
+                better[i : i + 512] = (all_scores > score + 1e-9 * (1 + np.abs(score))).sum(axis=1)
+        return pairs[["user", "item"]].assign(better=better)
+
+    counted = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
+    counted = counted.applyInPandas(count_better, "user int, item int, better long")
+    totals = counted.groupBy("user", "item").agg(F.sum("better").alias("better"))
+    others = F.lit(n_items) - F.col("seen_total") - 1
+    rank = F.when(others > 0, (F.col("better") - F.col("seen_before")) / others).otherwise(F.lit(0.0))
+    return placed.join(totals, ["user", "item"]).select("user", "item", "rating", rank.alias("percent_rank"))
+
+
 def _run(name: str, params: dict, fold: int, train: DataFrame, held: DataFrame, k: int, candidates: str, seed: int):
     params = {**DEFAULTS, **params}
     started = time.perf_counter()
@@ -263,13 +322,27 @@ def holdout(
     return train.sparkSession.createDataFrame(rows, RESULT_SCHEMA).drop("fold")
 
 
-def select_best(table: DataFrame, metric: str = "roem", minimize: bool = True, name: str = "model") -> DataFrame:
+def select_best(
+    table: DataFrame, metric: str = "ndcg_at_k", minimize: bool = False, name: str = "model"
+) -> DataFrame:
     """The row with the best metric, the first name winning ties; rows without a value never win."""
     best = F.col(metric).asc() if minimize else F.col(metric).desc()
     return table.filter(F.col(metric).isNotNull()).orderBy(best, name).limit(1)
 
 
-def model_report(results: DataFrame, best_only: bool = False, metric: str = "roem", minimize: bool = True) -> DataFrame:
+def best_model(
+    train: DataFrame, results: DataFrame, metric: str = "ndcg_at_k", minimize: bool = False, seed: int = 1
+) -> ALSModel:
+    """The best row's hyper-parameters fitted on ``train``."""
+    best = select_best(results, metric, minimize).first()
+    if best is None:
+        raise ValueError(f"no model has a value of {metric}")
+    return fit_als(train, seed=seed, **{p: best[p] for p in DEFAULTS})
+
+
+def model_report(
+    results: DataFrame, best_only: bool = False, metric: str = "ndcg_at_k", minimize: bool = False
+) -> DataFrame:
     """Hyper-parameters of every model, or of the best one, with its chosen metric."""
     if best_only:
         results = select_best(results, metric, minimize)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = (
@@ -24,7 +26,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float) and value == 0:
         return 0.0
@@ -39,7 +41,20 @@ def normal_rows(frame: pd.DataFrame) -> list[tuple]:
 
 
 def kinds(frame: pd.DataFrame) -> dict[str, str]:
-    return {c: str(frame[c].dtype) for c in sorted(frame.columns)}
+    """Number, text, time or truth value per column; columns that hold NULLs only are left out."""
+
+    def kind(values: pd.Series) -> str:
+        found = values.dropna()
+        if pd.api.types.is_bool_dtype(found.infer_objects()):
+            return "truth"
+        if pd.api.types.is_datetime64_any_dtype(found):
+            return "time"
+        first = found.iloc[0]
+        if isinstance(first, str):
+            return "text"
+        return "number" if isinstance(first, (int, float, np.number, Decimal)) else type(first).__name__
+
+    return {c: kind(frame[c]) for c in sorted(frame.columns) if frame[c].notna().any()}
 
 
 def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:

@@ -14,13 +14,14 @@ from basketry.session import RECOMMENDED_CONF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     builder = (
         SparkSession.builder.master("local[*]")
         .appName("basketry-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stages")))
     )
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)

@@ -19,6 +19,7 @@ from basketry.operators.metrics import (
     user_diversity,
     user_serendipity,
 )
+from basketry.operators.metrics.beyond import coverage, novelty
 from basketry.operators.pairs import item_similarity
 from basketry.operators.stats import hit_percentile_range
 
@@ -163,6 +164,16 @@ def test_beyond_accuracy_by_hand(spark):
     assert got.serendipity == pytest.approx((user1 + user2 + user3) / 3)
 
 
+def test_untrained_items_are_counted_and_empty_frames_give_null(spark):
+    train = spark.createDataFrame([(1, 1), (1, 2)], TRUTH)
+    reco = spark.createDataFrame([(1, 1), (2, 9), (3, 9)], TRUTH)
+    assert tuple(novelty(train, reco).first()) == (1.0, 2)
+    none = train.limit(0)
+    assert coverage(none, reco).first().catalog_coverage is None
+    assert coverage(train, none).first().catalog_coverage == 0
+    assert tuple(novelty(none, reco).first()) == (None, 3)
+
+
 def test_serendipity_of_an_owned_item_is_zero(spark):
     train = spark.createDataFrame([(1, 1)], TRUTH)
     similarity = item_similarity(train)

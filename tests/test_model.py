@@ -4,10 +4,12 @@ import random
 
 import pytest
 
-from basketry.operators.splits import kfold
+from basketry.operators.splits import fold_pair, kfold
 from basketry.plans.model import (
     as_lists,
     average_folds,
+    best_model,
+    unseen_percentiles,
     cross_validate,
     encode_pairs,
     evaluate_model,
@@ -140,12 +142,12 @@ def test_holdout_and_report(pairs):
     row = results.first()
     assert (row["rank"], row["max_iter"], row["reg"], row["alpha"]) == (2, 1, 0.05, 50.0)
     assert row.train_time > 0 and row.valid_time > 0
-    assert model_report(results, best_only=True).columns == ["model", "rank", "max_iter", "reg", "alpha", "roem"]
+    assert model_report(results, best_only=True).columns == ["model", "rank", "max_iter", "reg", "alpha", "ndcg_at_k"]
 
 
 def test_select_best_skips_missing_values(spark):
     table = spark.createDataFrame([("b", 0.3), ("a", 0.3), ("c", None)], "model string, roem double")
-    assert select_best(table).first().model == "a"
+    assert select_best(table, "roem", minimize=True).first().model == "a"
 
 
 def test_personalize(pairs):
@@ -187,3 +189,41 @@ def test_business_metrics(spark):
 def test_columns_of_recommendations(model):
     entry = recommend_all(model, 2).schema["recommendations"].dataType.elementType
     assert [f.name for f in entry] == ["item", "rating"]
+
+
+def test_percentiles_over_all_unseen_items(spark, pairs, model):
+    """Against all predictions, with one and with several tiles and blocks of users."""
+    users, items = pairs.select("user").distinct(), pairs.select("item").distinct()
+    folded = kfold(pairs, 4)
+    train, held = fold_pair(folded, 1)
+    scores = {(r.user, r.item): r.prediction for r in score_pairs(model, users.crossJoin(items)).collect()}
+    seen = {(r.user, r.item) for r in train.collect()}
+    held = held.join(train, ["user", "item"], "left_anti")
+    want = {}
+    for r in held.collect():
+        others = [s for (u, i), s in scores.items() if u == r.user and i != r.item and (u, i) not in seen]
+        if (r.user, r.item) in scores:
+            better = sum(s > scores[r.user, r.item] + 1e-6 for s in others)
+            want[r.user, r.item] = better / len(others) if others else 0.0
+    for tile, block in ((4096, 4096), (5, 3)):
+        got = unseen_percentiles(model, train, held, tile, block).collect()
+        assert {(r.user, r.item): r.percent_rank for r in got} == pytest.approx(want)
+
+
+def test_truth_leaves_out_repeat_purchases(pairs, model):
+    """Held-out pairs that repeat training pairs cannot be listed, so they do not lower the metrics."""
+    train, held = fold_pair(kfold(pairs, 4), 1)
+    plain = evaluate_model(model, train, held, k=5)
+    repeated = evaluate_model(model, train, held.unionByName(train.limit(20)), k=5)
+    assert plain == pytest.approx(repeated)
+    assert 0 <= plain["roem"] <= 1
+
+
+def test_best_model_is_fitted_again(spark, pairs):
+    results = spark.createDataFrame(
+        [("a", 2, 1, 0.1, 1.0, 0.2), ("b", 3, 1, 0.1, 1.0, 0.4)],
+        "model string, rank int, max_iter int, reg double, alpha double, ndcg_at_k double",
+    )
+    assert best_model(pairs, results).rank == 3
+    with pytest.raises(ValueError):
+        best_model(pairs, results.limit(0))

@@ -2,9 +2,7 @@
 
 from types import SimpleNamespace
 
-import pytest
-
-from basketry.session import checkpoint_root, freeze, scratch_path
+from basketry.session import checkpoint_root, freeze, scratch_path, stage_scope
 
 
 class Context(SimpleNamespace):
@@ -18,7 +16,8 @@ class Context(SimpleNamespace):
 
 
 def fake_session(master, configured=None, folder=None):
-    conf = SimpleNamespace(get=lambda key, default: configured)
+    settings = {"spark.checkpoint.dir": configured, "spark.sql.warehouse.dir": "hdfs:///warehouse/"}
+    conf = SimpleNamespace(get=lambda key, default=None: settings[key])
     return SimpleNamespace(sparkContext=Context(master=master, folder=folder), conf=conf)
 
 
@@ -27,10 +26,24 @@ def test_the_named_folder_wins():
     assert checkpoint_root(fake_session("yarn", configured="hdfs:///named")) == "hdfs:///named"
 
 
-def test_only_local_sessions_get_a_temporary_folder():
-    assert "basketry" in checkpoint_root(fake_session("local[2]"))
-    with pytest.raises(ValueError):
-        checkpoint_root(fake_session("yarn"))
+def test_without_a_named_folder_the_warehouse_holds_the_stages():
+    for master in ("local[2]", "yarn"):
+        assert checkpoint_root(fake_session(master)) == "hdfs:///warehouse/_stages"
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    from pathlib import Path
+
+    folder = Path(checkpoint_root(spark).removeprefix("file:"))
+    before = freeze(spark.range(3))
+    there = {p.name for p in folder.iterdir()}
+    with stage_scope(spark):
+        with stage_scope(spark):
+            inner = freeze(spark.range(5))
+            assert inner.count() == 5
+        freeze(spark.range(7))
+        assert len({p.name for p in folder.iterdir()} - there) == 1
+    assert {p.name for p in folder.iterdir()} == there and before.count() == 3
 
 
 def test_frozen_rows_do_not_change(spark):

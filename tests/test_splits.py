@@ -79,5 +79,12 @@ def test_text_and_huge_keys(spark):
     assert 0 <= kfold(huge, 5).first().fold < 5
 
 
+def test_rows_with_null_keys_get_a_fold(spark):
+    pairs = spark.createDataFrame([(1, None), (None, 2), (None, None), (3, 4)], "user int, item int")
+    folded = kfold(pairs, 3)
+    train, held = fold_pair(folded, folded.first().fold)
+    assert folded.filter("fold IS NULL").count() == 0 and train.count() + held.count() == 4
+
+
 def test_random_split_keeps_all_rows(lines):
     assert random_split(lines, [0.6, 0.2, 0.2]).count() == lines.count()

@@ -287,7 +287,11 @@ def q086(spark, sf_dir):
     )
 
 
-@query("o087_novelty", f"SELECT round({COVERAGE_SQL['novelty']}, 6) AS novelty")
+@query(
+    "o087_novelty",
+    f"""SELECT round({COVERAGE_SQL['novelty']}, 6) AS novelty,
+    (SELECT count(*) FROM ev_top WHERE item NOT IN (SELECT item FROM ev_train)) AS untrained""",
+)
 def q087(spark, sf_dir):
     inputs = EventInputs(spark, sf_dir)
     return novelty(inputs.train, inputs.top()).withColumn("novelty", r6("novelty"))

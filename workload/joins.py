@@ -122,13 +122,14 @@ def q029(spark, sf_dir):
     """
 SELECT u.CUST_ID, b.BRAND, coalesce(f.qty, 0) AS PROD_QTY, coalesce(f.rev, 0) AS PROD_REV_USD
 FROM (SELECT DISTINCT CUST_ID FROM order_lines) u
-CROSS JOIN (SELECT DISTINCT BRAND FROM order_lines) b
+CROSS JOIN (SELECT 'Brand#' || i AS BRAND FROM range(1, 26) r(i)) b
 LEFT JOIN (SELECT CUST_ID, BRAND, sum(PROD_QTY) AS qty, round(sum(PROD_REV_USD), 4) AS rev
            FROM order_lines GROUP BY ALL) f ON f.CUST_ID = u.CUST_ID AND f.BRAND = b.BRAND
 """,
 )
 def q030(spark, sf_dir):
-    grid = dense_grid(order_lines(spark, sf_dir), "CUST_ID", "BRAND", ["PROD_QTY", "PROD_REV_USD"])
+    brands = [f"Brand#{i}" for i in range(1, 26)]
+    grid = dense_grid(order_lines(spark, sf_dir), "CUST_ID", "BRAND", ["PROD_QTY", "PROD_REV_USD"], brands)
     return grid.withColumn("PROD_REV_USD", F.round("PROD_REV_USD", 4))
 
 
@@ -252,10 +253,24 @@ def q058(spark, sf_dir):
     return kfold(interactions(spark, sf_dir))
 
 
-@query("o059_random_split")
+@query(
+    "o059_random_split",
+    """
+SELECT count(*) AS rows, count(*) AS distinct_rows, 3 AS parts, CAST(0 AS BIGINT) AS in_several_parts FROM interactions
+""",
+)
 def q059(spark, sf_dir):
+    """What holds for every draw: no row is lost, none is in two parts."""
     parts = random_split(interactions(spark, sf_dir), [0.6, 0.2, 0.2])
-    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    per_row = parts.groupBy("user", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("p"), F.max("part").alias("last")
+    )
+    return per_row.agg(
+        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("distinct_rows"),
+        F.count_distinct("last").cast("int").alias("parts"),
+        F.count_if(F.col("p") > 1).alias("in_several_parts"),
+    )
 
 
 @query(

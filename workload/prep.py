@@ -15,11 +15,12 @@ from basketry.functions import (
     zero_fill,
 )
 from basketry.operators.filters import filter_category, filter_orders, null_rows, restrict_to_keys
-from basketry.plans.training import decayed_preferences, market_lines, preferences
+from basketry.plans.model import encode_pairs
+from basketry.plans.training import ITEM, USER, decayed_preferences, market_lines, preferences, stored_split
 from basketry.session import scratch_path
 from basketry.sources import concat_frames, query_view, read_orders, read_text_table, register, write_frame
 
-from .inputs import order_lines, r6, resolved, split_lines, stored_lines, table
+from .inputs import TIEBREAK, order_lines, r6, resolved, split_lines, stored_lines, table
 from .registry import part, query
 
 SITE, COUNTRY, BRANDS = "BUILDING", "NATION_7", ("Brand#1", "Brand#2")
@@ -341,29 +342,38 @@ def q045(spark, sf_dir):
     return rounded_preferences(decayed_preferences(resolved(spark, sf_dir), CATEGORY))
 
 
-PAIR_TOTALS = """
-WITH pair_totals AS (
-    SELECT CUST_ID, PROD_TITLE_PARENT_PROD_ID, sum(PROD_QTY) AS PROD_QTY_SUM,
-           max(ORDER_DT) AS PARENT_PROD_LAST_ORDER_DT, sum(Timedecay) AS decayed
-    FROM weighted_lines WHERE PGG_PROD_GRP LIKE :category
-    GROUP BY ALL
-)
-SELECT * EXCEPT (decayed), round(decayed, 6) AS Timedecay_SUM FROM pair_totals WHERE PROD_QTY_SUM > :least
+MONTHLY_SALES = """
+SELECT BRAND, year(ORDER_DT) AS sold_year, month(ORDER_DT) AS sold_month,
+       count(DISTINCT CUST_ID) AS buyers, round(sum(PROD_REV_USD), 2) AS revenue
+FROM sales WHERE SHIP_TO_COUNTRY = {country}
+GROUP BY BRAND, year(ORDER_DT), month(ORDER_DT)
 """
 
 
-@query("o047_query_view", PREFERENCES_SQL.format(source="resolved"))
+@query("o047_query_view", MONTHLY_SALES.format(country=f"'{COUNTRY}'").replace("FROM sales", "FROM order_lines"))
 def q047(spark, sf_dir):
-    weighted = decay_weight(resolved(spark, sf_dir))
-    return query_view(weighted, "weighted_lines", PAIR_TOTALS, category=CATEGORY, least=2)
+    """Buyers and revenue of each brand and month in one country."""
+    lines = order_lines(spark, sf_dir)
+    return query_view(lines, "sales", MONTHLY_SALES.format(country=":country"), country=COUNTRY)
 
 
-def flagship(spark, sf_dir):
+def market_preferences(spark, sf_dir):
     """Decayed preferences of one category in one market."""
     lines = market_lines(order_lines(spark, sf_dir), SITE, exclude_brands=BRANDS)
     return rounded_preferences(decayed_preferences(lines, CATEGORY))
 
 
+def flagship(spark, sf_dir):
+    """The training set: market, split, decay up to the newest training line, category, least total, ids."""
+    lines = market_lines(order_lines(spark, sf_dir), SITE, exclude_brands=BRANDS)
+    wanted = ["CUST_ID", "ORDER_DT", ITEM, "PGG_PROD_GRP", *TIEBREAK]
+    train = stored_split(lines.select(*wanted), tiebreak=TIEBREAK).filter(F.col("split") == "train")
+    prefs = decayed_preferences(train, CATEGORY)
+    pairs, users, items = encode_pairs(prefs, USER, ITEM, "Timedecay_SUM")
+    named = pairs.join(users, "user").join(items, "item")
+    return named.select("user", "item", USER, ITEM, r6("rating").alias("rating"))
+
+
 part(
     "market",
     """
@@ -375,4 +385,28 @@ WHERE SITE = 'BUILDING' AND BRAND NOT IN ('Brand#1', 'Brand#2') AND PROD_REV_USD
 
 @query("o045_market_preferences", PREFERENCES_SQL.format(source="market"))
 def q045_market(spark, sf_dir):
+    return market_preferences(spark, sf_dir)
+
+
+_ORDER = "ORDER BY ORDER_DT, BE_ORDER_ID, LINE_NO, PROD_ID, PROD_QTY, LIST_PRICE"
+part(
+    "market_numbered",
+    f"""
+SELECT *, row_number() OVER (PARTITION BY CUST_ID {_ORDER}) AS rn, count(*) OVER (PARTITION BY CUST_ID) AS n FROM market
+""",
+)
+part("market_train", "SELECT * FROM market_numbered WHERE rn <= round_even(CAST(0.6 AS DOUBLE) * n, 0)")
+part("market_prefs", PREFERENCES_SQL.format(source="market_train"))
+
+
+@query(
+    "o045_train_preferences",
+    """
+SELECT CAST(dense_rank() OVER (ORDER BY CUST_ID) - 1 AS INTEGER) AS "user",
+       CAST(dense_rank() OVER (ORDER BY PROD_TITLE_PARENT_PROD_ID) - 1 AS INTEGER) AS item,
+       CUST_ID, PROD_TITLE_PARENT_PROD_ID, Timedecay_SUM AS rating
+FROM market_prefs
+""",
+)
+def q045_train(spark, sf_dir):
     return flagship(spark, sf_dir)

@@ -128,7 +128,7 @@ TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
     + " FROM order_lines GROUP BY BE_ORDER_ID",
 )
 def q048(spark, sf_dir):
-    return basket_matrix(order_lines(spark, sf_dir), sku="PROD_CAT")
+    return basket_matrix(order_lines(spark, sf_dir), TYPES, sku="PROD_CAT")
 
 
 @query("o048_basket_long", "SELECT BE_ORDER_ID, SKU, sum(PROD_QTY) AS PROD_QTY FROM order_lines GROUP BY ALL")
