@@ -1,7 +1,7 @@
 """Byte-level BPE with word ends, merged through an index from each pair to all its places.
 
-The vocabulary file is a parameter; nothing is trained. White space separates words in this
-scheme, so the pieces between white space are encoded once per task and then looked up.
+The vocabulary file is a parameter; nothing is trained. Merges stay inside words in this scheme, so
+a task encodes all new words of some texts together and looks up those it has met.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import by_weight, map_batches
 
-# Pieces and words remembered per task; a memory is emptied when it is full.
+# Words after which the memory of a task becomes its older memory.
 REMEMBERED = 300_000
 # White space as the vocabulary's patterns mean it.
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,10 +49,10 @@ LOWER_ADDED = {
 }
 
 
-def _ranges(pattern: str) -> str:
-    """The characters of ``pattern`` up to Unicode 16.0 as ranges of a character class of ``re``."""
+def _ranges(pattern: str, end: int) -> str:
+    """The characters of ``pattern`` below ``end`` and up to Unicode 16.0, as ranges for ``re``."""
     added = {c for low, high in ADDED_IN_16 for c in range(low, high + 1)}
-    wanted = regex.findall(pattern, "".join(map(chr, range(0x110000))))
+    wanted = regex.findall(pattern, "".join(map(chr, range(end))))
     points = [c for c in map(ord, wanted) if unicodedata.category(chr(c)) != "Cn" or c in added]
     runs: list[list[int]] = []
     for c in points:
@@ -64,9 +64,13 @@ def _ranges(pattern: str) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def word_pattern(pattern: str) -> re.Pattern:
-    """The vocabulary's word pattern, its classes of letters, digits and spaces spelled out."""
-    letters, digits = _ranges(r"\p{L}"), _ranges(r"\p{N}")
+def word_pattern(pattern: str, end: int) -> re.Pattern:
+    """The vocabulary's word pattern, its classes of letters, digits and spaces spelled out.
+
+    ``re`` looks characters below 0x10000 up in a table and walks through the ranges of others, so
+    a pattern for texts without the latter is much faster.
+    """
+    letters, digits = _ranges(r"\p{L}", end), _ranges(r"\p{N}", end)
     pattern = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{SPACES}{letters}{digits}]")
     return re.compile(pattern.replace(r"\p{L}", letters).replace(r"\p{N}", digits))
 
@@ -91,11 +95,12 @@ class WordBpe:
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.token}
         pre = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = word_pattern(pre)
+        self.words, self.plain_words = word_pattern(pre, 0x110000), word_pattern(pre, 0x10000)
+        rare = "".join(map(chr, (c for c in LOWER_ADDED if c < 0x10000)))
+        self.rare = re.compile(f"[\U00010000-\U0010ffff{rare}]")
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.space = re.compile(f"[{SPACES}]+")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.spelled: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str | int, tuple[bytes, str]] = {}
+        self.older: dict[str | int, tuple[bytes, str]] = {}
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of every word.
@@ -164,56 +169,49 @@ class WordBpe:
                 current = []
         return out
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """Pieces between white space, and ids of special tokens, in order."""
-        parts = self.specials.split(text) if "<|" in text else [text]
-        for part in parts:
-            if part in self.special:
-                yield self.special[part]
-            else:
-                yield from filter(None, self.space.split(part))
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode pieces that are not remembered yet, their new words all in one go."""
-        found: dict[str, list[str]] = {}
-        for piece in pieces:
-            body = piece
-            if not piece.isascii():
-                # Lower case per character, so a final sigma is no special case.
-                body = unicodedata.normalize("NFC", piece).translate(LOWER_ADDED)
-                body = "".join(c.lower() for c in body) if "Σ" in body else body
-            found[piece] = self.words.findall(body.lower())
-        spelled = self.spelled
-        words = list({w for ws in found.values() for w in ws if w not in spelled})
-        if len(spelled) + len(words) > REMEMBERED:
-            spelled.clear()
-            words = list({w for ws in found.values() for w in ws})
-        for word, ids in zip(words, self.merge([w.encode("utf-8") for w in words])):
-            packed = b"".join([self.packed[i] for i in ids])
-            spelled[word] = (packed, " ".join([self.token[i] for i in ids]))
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known.clear()
-        for piece, ws in found.items():
-            if len(ws) == 1:
-                self.known[piece] = spelled[ws[0]]
+    def split(self, text: str) -> list[str | int]:
+        """Words, and ids of special tokens, in order."""
+        if "<|" in text and len(parts := self.specials.split(text)) > 1:
+            out: list[str | int] = []
+            for part in parts:
+                out += [self.special[part]] if part in self.special else self.split(part)
+            return out
+        if text.isascii():
+            return self.plain_words.findall(text.lower())
+        # Lower case per character, so a final sigma is no special case.
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if self.rare.search(text):
+            return self.words.findall(text.translate(LOWER_ADDED).lower())
+        return self.plain_words.findall(text.lower())
+
+    def learn(self, words: set[str | int]) -> None:
+        """Make sure that all ``words`` are remembered; new ones are encoded in one go.
+
+        A full memory becomes the older one, from which words in use move back.
+        """
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older, token, packed = self.known, self.older, self.token, self.packed
+        new = []
+        for word in words.difference(known):
+            if word in older:
+                known[word] = older[word]
+            elif isinstance(word, int):
+                known[word] = (packed[word], token[word])
             else:
-                coded = [spelled[w] for w in ws]
-                self.known[piece] = (b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded]))
+                new.append(word)
+        for word, ids in zip(new, self.merge([w.encode("utf-8") for w in new])):
+            known[word] = (b"".join([packed[i] for i in ids]), " ".join([token[i] for i in ids]))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers, and the text that decoding them gives."""
-        split = [list(self.pieces(text)) for text in texts]
+        split = [self.split(text) for text in texts]
+        words_here = set().union(*split)
+        self.learn(words_here)
         known = self.known
-        new = {p for pieces in split for p in pieces if p not in known and isinstance(p, str)}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                new = {p for pieces in split for p in pieces if isinstance(p, str)}
-            self.learn(new)
-        for pieces in split:
-            coded = [
-                known[p] if isinstance(p, str) else (self.packed[p], self.token[p]) for p in pieces
-            ]
-            yield b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded if c[0]])
+        for words in split:
+            coded = [known[w] for w in words]
+            yield b"".join([c[0] for c in coded]), " ".join([c[1] for c in coded])
 
 
 @functools.lru_cache(maxsize=2)
