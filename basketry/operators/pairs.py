@@ -81,13 +81,22 @@ def pair_counts(df: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def item_similarity(
-    inter: DataFrame, user: str = "user", item: str = "item", measure: str = "cosine"
+    inter: DataFrame,
+    user: str = "user",
+    item: str = "item",
+    measure: str = "cosine",
+    min_together: int = 1,
 ) -> DataFrame:
-    """Similarity of item pairs that share at least one user (item_a < item_b).
+    """Similarity of item pairs that share at least ``min_together`` users (item_a < item_b).
 
-    cosine: c_ij / sqrt(c_i * c_j); jaccard: c_ij / (c_i + c_j - c_ij); count: c_ij.
+    cosine: c_ij / sqrt(c_i * c_j); jaccard: c_ij / (c_i + c_j - c_ij); count: c_ij. Items with
+    fewer users than the minimum cannot reach it and leave before the self-join.
     """
-    together = pair_counts(inter, user, item)
+    paired = inter
+    if min_together > 1:
+        users = inter.select(user, item).distinct().groupBy(item).agg(F.count(user).alias("c"))
+        paired = inter.join(users.filter(F.col("c") >= min_together).select(item), item, "left_semi")
+    together = pair_counts(paired, user, item).filter(F.col("together") >= min_together)
     if measure == "count":
         return together.withColumn("similarity", F.col("together").cast("double"))
     single = (
@@ -185,18 +194,34 @@ def similar_by_attributes(
     items: DataFrame,
     item: str,
     block: Sequence[str],
-    numeric: str,
+    numeric: str | Sequence[str],
     n: int = 5,
     section: int = 10_000,
 ) -> DataFrame:
     """The ``n`` items of equal ``block`` attributes closest in ``numeric`` (price, size, ...).
 
+    Several numeric attributes give the Euclidean distance over them; scale them before the call.
+    Items without a value in one of them are left out, equal distances are ordered by item, and the
+    work is that of ``similar_by_vector``.
+
     Along the sorted attribute the n closest items lie among the n before and the n after, so each
     item only looks at 2n neighbours. Blocks are cut into sections of consecutive positions, with n
     rows of the adjoining sections added, which keeps tasks small whatever the block size.
     Equal distances are ordered by closeness in the sorted list, then by position.
     """
     block = list(block)
+    if not isinstance(numeric, str):
+        point = F.array(*[F.col(c).cast("double") for c in numeric])
+        known = items.dropna(subset=list(numeric)).select(
+            F.col(item).alias("item"), point.alias("vector"), F.struct(*block).alias("label")
+        )
+        near = similar_by_vector(known, n, measure="euclidean")
+        return near.select(
+            F.col("item").alias(item),
+            F.col("other").alias("alternative"),
+            (-F.col("similarity")).alias("distance"),
+            "rank",
+        )
     kept = items.select(item, *block, numeric).filter(F.col(numeric).isNotNull())
     placed = positions(kept, block, [F.col(numeric).asc(), F.col(item).asc()], out="__pos")
     own = F.floor((F.col("__pos") - 1) / F.lit(section))
@@ -229,24 +254,27 @@ def similar_by_attributes(
     )
 
 
-def _tile_top_k(k: int, decimals: int):
+def _tile_top_k(k: int, decimals: int, measure: str):
     import numpy as np
     import pandas as pd
 
     def best_of_tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"item": [], "other": [], "similarity": []}).astype(
-            {"item": "int64", "other": "int64", "similarity": "float64"}
-        )
         if queries.empty or candidates.empty:
-            return empty
+            ids = queries["item"].iloc[:0].reset_index(drop=True)
+            return pd.DataFrame({"item": ids, "other": ids, "similarity": np.empty(0)})
         q = np.stack(queries["vector"].to_numpy()).astype("float64")
         c = np.stack(candidates["vector"].to_numpy()).astype("float64")
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        c /= np.linalg.norm(c, axis=1, keepdims=True)
+        if measure == "cosine":
+            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            c /= np.linalg.norm(c, axis=1, keepdims=True)
         q_ids, c_ids = queries["item"].to_numpy(), candidates["item"].to_numpy()
         order = np.argsort(c_ids, kind="stable")
         c, c_ids = c[order], c_ids[order]
-        scores = np.round(q @ c.T, decimals)
+        if measure == "cosine":
+            scores = q @ c.T
+        else:  # attribute by attribute: differences stay exact where a product would cancel
+            scores = -np.sqrt(sum((q[:, None, d] - c[None, :, d]) ** 2 for d in range(q.shape[1])))
+        scores = np.round(scores, decimals)
         scores[q_ids[:, None] == c_ids[None, :]] = -np.inf
         # A stable sort over candidates in id order breaks equal scores by the smaller id.
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
@@ -270,17 +298,21 @@ def similar_by_vector(
     block: str = "label",
     tile: int = 2_048,
     decimals: int = 6,
+    measure: str = "cosine",
 ) -> DataFrame:
-    """The ``k`` most cosine-similar items of the same block, exact.
+    """The ``k`` most similar items of the same block, exact; ids of any type.
 
+    ``cosine``, or ``euclidean``: the distance with a minus sign.
     A block is cut into tiles. Each pair of tiles is one bounded matrix product that returns k rows
     per item, and the best k over all tiles remain, so pairs are never written out as rows.
-    Zero vectors have no direction and are left out.
+    For the cosine, zero vectors have no direction and are left out.
     """
     rows = vectors.select(
-        F.col(item).cast("long").alias("item"), F.col(vector).alias("vector"), F.col(block).alias("block")
+        F.col(item).alias("item"), F.col(vector).alias("vector"), F.col(block).alias("block")
     ).filter(F.col("vector").isNotNull())
-    rows = rows.filter(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x) > 0)
+    if measure == "cosine":
+        rows = rows.filter(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x) > 0)
+    kind = rows.schema["item"].dataType.simpleString()
     sizes = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tile))).alias("tiles"))
     sizes = sizes.withColumnRenamed("block", "__k_block")
     tiled = rows.join(sizes, same_key(["block"], "__k_")).drop("__k_block")
@@ -294,6 +326,8 @@ def similar_by_vector(
     best = (
         queries.groupBy("block", "i", "j")
         .cogroup(candidates.groupBy("block", "i", "j"))
-        .applyInPandas(_tile_top_k(k, decimals), "item long, other long, similarity double")
+        .applyInPandas(
+            _tile_top_k(k, decimals, measure), f"item {kind}, other {kind}, similarity double"
+        )
     )
     return top_k(best, k, user="item", item="other", score="similarity", rank="rank")

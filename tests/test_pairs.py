@@ -128,3 +128,25 @@ def test_nearest_by_vector_matches_all_pairs(spark, tile):
             if j != i and other == label:
                 scored.append((-round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 6), j))
         assert [j for j, _ in got[i]] == [j for _, j in sorted(scored)[:4]]
+
+
+def test_least_support_only_removes_rare_pairs(spark):
+    df = spark.createDataFrame([(u, i) for u in range(12) for i in range(5) if (u * 7 + i * 3) % 4], "user int, item int")
+    every = [r for r in item_similarity(df).collect() if r.together >= 6]
+    assert sorted(map(tuple, item_similarity(df, min_together=6).collect())) == sorted(map(tuple, every))
+
+
+def test_several_attributes_and_text_ids(spark):
+    parts = [(f"p{i}", "a" if i % 2 else "b", (i * 37 % 11) / 10, (i * 53 % 17) / 10) for i in range(30)] + [("q", "a", None, 1.0)]
+    df = spark.createDataFrame(parts, "id string, kind string, size double, price double")
+    got = {}
+    for r in similar_by_attributes(df, "id", ["kind"], ["size", "price"], n=4).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.distance, r.alternative)
+    for name, kind, size, price in parts[:-1]:
+        want = sorted(
+            (round(math.hypot(size - s, price - p), 6), other)
+            for other, k, s, p in parts[:-1]
+            if k == kind and other != name
+        )[:4]
+        assert [got[name][i][1] for i in sorted(got[name])] == [w[1] for w in want]
+    assert "q" not in got

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketry.operators.joins import audit_pairs
 from basketry.operators.metrics import (
     diversity_metrics,
     evaluate,
@@ -18,7 +19,7 @@ from basketry.operators.metrics import (
 from basketry.operators.metrics.beyond import coverage, novelty
 from basketry.operators.ordered import avg_rank_pct, percent_rank_items
 from basketry.operators.pairs import item_similarity
-from basketry.operators.stats import hit_percentile_range
+from basketry.operators.stats import heaviest_users, hit_percentile_range
 from basketry.plans.model import as_lists, flatten_recs, flatten_recs_sql, select_best
 from basketry.plans.scenarios import popularity
 from basketry.session import freeze
@@ -219,6 +220,23 @@ JOIN (SELECT DISTINCT "user" FROM ev_train) u ON u."user" = r."user"
 )
 
 
+@query(
+    "o036_audit_predictions",
+    """
+SELECT coalesce(p."user", t."user") AS "user", coalesce(p.item, t.item) AS item, p.prediction, t.rating,
+       CASE WHEN p."user" IS NULL THEN 'right_only' WHEN t."user" IS NULL THEN 'left_only' ELSE 'both' END AS _merge
+FROM ev_top p FULL JOIN ev_truth t ON t."user" = p."user" AND t.item = p.item
+WHERE coalesce(p."user", t."user") IN (
+    SELECT "user" FROM (SELECT * FROM ev_later ORDER BY rating DESC, "user", item LIMIT 500))
+""",
+)
+def q036_predictions(spark, sf_dir):
+    """Predicted lists next to what was bought later, for the users of the 500 heaviest rows."""
+    inputs = EventInputs(spark, sf_dir)
+    users = heaviest_users(inputs.later, 500, weight="rating")
+    return audit_pairs(inputs.top(), inputs.truth, users)
+
+
 @query(
     "o069_select_best",
     f"""

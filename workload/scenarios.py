@@ -60,6 +60,25 @@ def q093(spark, sf_dir):
     return similar.withColumn("distance", r6("distance"))
 
 
+@query(
+    "o093_similar_by_size_and_price",
+    """
+SELECT p_partkey, alternative, distance, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, alternative) AS rank
+      FROM (SELECT a.p_partkey, b.p_partkey AS alternative,
+                   round(sqrt(power(a.p_size / 50.0::DOUBLE - b.p_size / 50.0::DOUBLE, 2)
+                              + power(a.p_retailprice / 2000.0::DOUBLE - b.p_retailprice / 2000.0::DOUBLE, 2)), 6) AS distance
+            FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey))
+WHERE rank <= 5
+""",
+)
+def q093_several(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_type", (F.col("p_size") / 50.0).alias("size"), (F.col("p_retailprice") / 2000.0).alias("price")
+    )
+    return similar_by_attributes(parts, "p_partkey", ["p_type"], ["size", "price"], 5)
+
+
 @query(
     "o094_similar_by_vector",
     """
