@@ -29,10 +29,14 @@ def chrono_split(
     """Label each row with its part: the oldest rows of every user first.
 
     The parts are cut one after the other, each from what is left, rounding half to even.
-    ``tiebreak`` columns make the order of simultaneous rows reproducible.
+    ``tiebreak`` columns make the order of simultaneous rows reproducible; without any, all other
+    columns that can be ordered do.
     """
     if len(ratios) != len(names):
         raise ValueError("one name per ratio")
+    if not tiebreak:
+        unordered = ("map", "variant")
+        tiebreak = [c for c, t in df.dtypes if c not in (user, ts) and not any(w in t for w in unordered)]
     order = [F.col(c).asc() for c in (ts, *tiebreak)]
     numbered = positions(df, [user], order, out="__rn", total="__n", hot_rows=hot_rows)
     rest, taken = F.col("__n"), F.lit(0).cast("long")

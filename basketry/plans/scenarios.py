@@ -100,7 +100,8 @@ def ab_test(
 ) -> DataFrame:
     """Success rates of two variants, their difference and its z score (pooled two-proportion test).
 
-    Every event of the ``trials`` kinds is one trial; those of kind ``success`` succeed.
+    Every event of the ``trials`` kinds is one trial; those of kind ``success`` succeed. The rate is
+    therefore clicks over views and clicks together, a share, while ``ctr`` is clicks per view.
     """
 
     def count_of(variant, condition):

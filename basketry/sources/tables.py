@@ -7,13 +7,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ordered import positions
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan; later filters and selections are pushed into it by Catalyst."""
-    return spark.read.parquet(path)
+def read_orders(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Parquet scan; later filters and selections are pushed into it by Catalyst.
+
+    With a ``schema`` the files have to hold its columns with these types, and a wrong one is an
+    error here instead of somewhere later.
+    """
+    df = spark.read.parquet(path)
+    if schema is None:
+        return df
+    wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = {f.name: f.dataType for f in df.schema}
+    wrong = [
+        f"{f.name} is {found[f.name].simpleString() if f.name in found else 'missing'}, not {f.dataType.simpleString()}"
+        for f in wanted
+        if found.get(f.name) != f.dataType
+    ]
+    if wrong:
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    return df.select(*wanted.names)
 
 
 def write_frame(
@@ -27,9 +44,20 @@ def write_frame(
     return path
 
 
-def read_text_table(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """CSV with a header in which every column stays text (no inference pass)."""
-    return spark.read.options(header=True, inferSchema=False, **options).csv(path)
+def read_text_table(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, **options: str
+) -> DataFrame:
+    """CSV with a header in which every column stays text (no inference pass).
+
+    ``columns`` that the header does not have are an error.
+    """
+    df = spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    if columns is None:
+        return df
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    return df.select(*columns)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:

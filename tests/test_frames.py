@@ -249,3 +249,16 @@ def test_basket_matrix_and_long_form(spark):
     full = basket_matrix(wide, range(1500))
     assert len(full.columns) == 1501
     assert sorted(sum(r[1:]) for r in full.collect()) == [0, 500, 500, 500]
+
+
+def test_schemas_are_checked_when_reading(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a")], "x int, y string").write.parquet(path)
+    assert read_orders(spark, path, "y string").columns == ["y"]
+    with pytest.raises(ValueError, match="x is int, not bigint; z is missing"):
+        read_orders(spark, path, "x long, z string")
+    text = str(tmp_path / "c")
+    spark.createDataFrame([("1", "a")], "x string, y string").write.option("header", True).csv(text)
+    assert read_text_table(spark, text, ["y"]).columns == ["y"]
+    with pytest.raises(ValueError):
+        read_text_table(spark, text, ["z"])

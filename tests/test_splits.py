@@ -88,3 +88,11 @@ def test_rows_with_null_keys_get_a_fold(spark):
 
 def test_random_split_keeps_all_rows(lines):
     assert random_split(lines, [0.6, 0.2, 0.2]).count() == lines.count()
+
+
+def test_ties_without_a_given_order_do_not_depend_on_the_layout(spark):
+    when = datetime(2021, 1, 1)
+    df = spark.createDataFrame([("c", when, i) for i in range(40)], "CUST_ID string, ORDER_DT timestamp, line int")
+    want = parts(chrono_split(df))
+    assert want == parts(chrono_split(df.orderBy(F.col("line").desc()).repartition(7), hot_rows=3))
+    assert [want[i] for i in (0, 23, 24, 39)] == ["train", "train", "valid", "test"]
