@@ -69,5 +69,10 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
     finally:
         _open_scopes[:] = [p for p in _open_scopes if p is not paths]
         for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing will read again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
