@@ -37,8 +37,10 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if no such group).
 
-    Runs one counting job that reads the key columns only and combines on the map side.
+    The input is stored first, so whatever led to it runs once; the counting job then reads the key
+    columns of the stored table only and combines on the map side.
     """
+    df = freeze(df)
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
     hot = counts.filter(F.col("__rows") > limit).select(
         *[F.col(c).alias("__hot_" + c) for c in group]
