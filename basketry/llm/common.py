@@ -19,14 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     The lineage ends at that table, and the shuffle files that led to it are removed as soon as it
     is complete, so a chain of steps needs the disk of its largest step and not of all together.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "text")
+    path = path or scratch_path(spark, "text")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -53,7 +53,7 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def by_weight(texts: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def by_weight(texts: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Cut rows into runs (from, to) of about ``limit`` characters, one row at least."""
     total, first = 0, 0
     for i, n in enumerate(pc.binary_length(texts).to_pylist()):

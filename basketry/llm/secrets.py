@@ -126,14 +126,15 @@ def discoveries(tokens: DataFrame) -> DataFrame:
     """The rows of ``tokens`` that count as random; ``tokens`` has ``token`` and any other columns.
 
     Counts per (length class, deviation class) are all that is compared across the corpus; there
-    are at most a few thousand of them whatever its size.
+    are at most a few hundred of them whatever its size.
     """
     columns = tokens.columns
     tested = _deviation(tokens).withColumns(
         {
             "word": F.col("token").rlike(WORD),
             "length": F.floor(2.0 * F.log2(F.char_length("token"))).cast("int"),
-            "level": F.floor(F.least("deviation", F.lit(200.0)) * STEPS).cast("int"),
+            # All that is too far from random is one class, so there are a few dozen per length.
+            "level": F.floor(F.least("deviation", F.lit(MOST_DEVIATION + 1.0)) * STEPS).cast("int"),
         }
     )
     tested = stored(tested.select(*columns, "word", "length", "level", "deviation"))

@@ -2,7 +2,7 @@
 
 Documents are searched in shards, each with a compressed FM-index of its own. Searching every
 document in every shard would be quadratic, so the shards are cut by content: every window of
-``SPAN`` words goes where its minimizer (its least 5-gram hash) goes, together with the windows
+``SPAN`` words goes where its minimizer (its least 7-gram hash) goes, together with the windows
 beside it that have the same one. Such a run of windows is a fragment, and equal windows always
 meet in one shard. A fragment travels only if its minimizer occurs in several documents, and equal
 fragments travel once, with their smallest document. Minimizers with very many fragments are dealt
@@ -19,12 +19,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import remove_path, scratch_path
 from .common import map_batches, order_id, row_and, stored
 from .fm import earlier_windows
 from .words import VISIBLE, Words, mix, words_of
 
 SPAN = 13
-GRAM = 5
+GRAM = 7
 # Words indexed by one shard, on average; a minimizer above a tenth of it is dealt by window.
 SHARD_WORDS = 150_000
 
@@ -173,17 +174,19 @@ def repeated_spans(
     ends = found.groupBy("minimizer").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     several = stored(ends.filter(F.col("low") < F.col("high")).select("minimizer"))
     shared = stored(found.join(several, "minimizer"))
-    cut = stored(cut_fragments(docs, shared, span))
+    whole_cut = scratch_path(docs.sparkSession, "fragments")
+    cut = stored(cut_fragments(docs, shared, span), whole_cut)
     distinct = stored(
         cut.groupBy("f1", "f2").agg(
             F.min("doc").alias("owner"), F.first("minimizer").alias("minimizer"), F.first("words").alias("words")
         )
     )
+    size = (F.length("words") / 8).cast("int").alias("size")
+    cut = stored(cut.select("doc", "text_key", "pos", "f1", "f2", size))
+    remove_path(docs.sparkSession, whole_cut)  # the words are in ``distinct`` from here on
     earlier = stored(search_shards(distinct, span, shard_words))
     known = distinct.select("f1", "f2", "owner").join(earlier, ["f1", "f2"], "left")
-    met = cut.select("doc", "text_key", "pos", "f1", "f2", (F.length("words") / 8).cast("int").alias("size")).join(
-        known, ["f1", "f2"]
-    )
+    met = cut.join(known, ["f1", "f2"])
     whole = F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))
     some = F.transform(
         "earlier",

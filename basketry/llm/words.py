@@ -22,7 +22,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _GRAM = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOCK = 2_000_000
+_BLOCK = 500_000
 
 # Bytes that belong to words: anything but ASCII white space, or letters, digits and non-ASCII.
 VISIBLE = np.ones(256, bool)
