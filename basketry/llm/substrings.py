@@ -74,9 +74,12 @@ def minimizers(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return map_batches(docs, run, "doc long, text_key long, minimizer long, pos int, windows int")
 
 
-def cut_fragments(docs: DataFrame, shared: DataFrame, span: int) -> DataFrame:
-    """``doc, text_key, pos, minimizer, f1, f2, words`` of the fragments in ``shared``."""
-    per_row = shared.groupBy("doc", "text_key").agg(
+def cut_fragments(docs: DataFrame, wanted: DataFrame, span: int, with_words: bool) -> DataFrame:
+    """``doc, text_key, pos, size, minimizer, f1, f2`` of the fragments in ``wanted``, or their words.
+
+    ``with_words`` returns ``minimizer, f1, f2, doc`` and the packed ``words`` instead.
+    """
+    per_row = wanted.groupBy("doc", "text_key").agg(
         F.collect_list(F.struct("pos", "windows", "minimizer")).alias("cuts")
     )
     joined = docs.join(per_row, ["doc", "text_key"]).select("doc", "text_key", "text", "cuts")
@@ -92,7 +95,6 @@ def cut_fragments(docs: DataFrame, shared: DataFrame, span: int) -> DataFrame:
             size = flat.field("windows").to_numpy() + span - 1
             begin = w.first[row] + pos
             h = w.hash
-            packed = [h[a : a + m].tobytes() for a, m in zip(begin.tolist(), size.tolist())]
             # Two independent sums over (word, place) name the fragment, 128 bits in all.
             places = np.arange(1, int(size.max(initial=0)) + 1, dtype=np.uint64)
             ends = np.cumsum(size)
@@ -103,21 +105,23 @@ def cut_fragments(docs: DataFrame, shared: DataFrame, span: int) -> DataFrame:
                 mixed = mix(values + mix(places + seed)[inside])
                 names.append(np.add.reduceat(mixed, ends - size) if len(ends) else mixed)
             rows = pa.array(row + w.at)
-            yield _batch(
-                {
-                    "doc": batch.column("doc").take(rows),
-                    "text_key": batch.column("text_key").take(rows),
-                    "pos": flat.field("pos"),
-                    "minimizer": flat.field("minimizer"),
-                    "f1": pa.array(names[0].view(np.int64)),
-                    "f2": pa.array(names[1].view(np.int64)),
-                    "words": pa.array(packed, pa.binary()),
-                }
-            )
-
-    return map_batches(
-        joined, run, "doc long, text_key long, pos int, minimizer long, f1 long, f2 long, words binary"
-    )
+            columns = {
+                "doc": batch.column("doc").take(rows),
+                "minimizer": flat.field("minimizer"),
+                "f1": pa.array(names[0].view(np.int64)),
+                "f2": pa.array(names[1].view(np.int64)),
+            }
+            if with_words:
+                packed = [h[a : a + m].tobytes() for a, m in zip(begin.tolist(), size.tolist())]
+                columns["words"] = pa.array(packed, pa.binary())
+            else:
+                columns["text_key"] = batch.column("text_key").take(rows)
+                columns["pos"] = flat.field("pos")
+                columns["size"] = pa.array(size.astype(np.int32))
+            yield _batch(columns)
+
+    more = "words binary" if with_words else "text_key long, pos int, size int"
+    return map_batches(joined, run, "doc long, minimizer long, f1 long, f2 long, " + more)
 
 
 def search_shards(distinct: DataFrame, span: int, shard_words: int) -> DataFrame:
@@ -173,19 +177,20 @@ def repeated_spans(
     found = minimizers(docs, span, gram)
     ends = found.groupBy("minimizer").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     several = stored(ends.filter(F.col("low") < F.col("high")).select("minimizer"))
-    shared = stored(found.join(several, "minimizer"))
-    whole_cut = scratch_path(docs.sparkSession, "fragments")
-    cut = stored(cut_fragments(docs, shared, span), whole_cut)
-    distinct = stored(
-        cut.groupBy("f1", "f2").agg(
-            F.min("doc").alias("owner"), F.first("minimizer").alias("minimizer"), F.first("words").alias("words")
-        )
-    )
-    size = (F.length("words") / 8).cast("int").alias("size")
-    cut = stored(cut.select("doc", "text_key", "pos", "f1", "f2", size))
-    remove_path(docs.sparkSession, whole_cut)  # the words are in ``distinct`` from here on
+    spark, place = docs.sparkSession, scratch_path(docs.sparkSession, "shared")
+    cut = stored(cut_fragments(docs, stored(found.join(several, "minimizer"), place), span, False))
+    remove_path(spark, place)
+    # The first occurrence of every fragment in its smallest document stands for all of them.
+    first = F.min(F.struct("doc", "text_key", "pos", "size", "minimizer")).alias("x")
+    owned = stored(cut.groupBy("f1", "f2").agg(first).select("f1", "f2", "x.*"))
+    windows = (F.col("size") - (span - 1)).alias("windows")
+    firsts = owned.select("doc", "text_key", "pos", windows, "minimizer")
+    place = scratch_path(spark, "fragments")
+    distinct = stored(cut_fragments(docs, firsts, span, True).withColumnRenamed("doc", "owner"), place)
     earlier = stored(search_shards(distinct, span, shard_words))
-    known = distinct.select("f1", "f2", "owner").join(earlier, ["f1", "f2"], "left")
+    remove_path(spark, place)
+    known = owned.select("f1", "f2", F.col("doc").alias("owner")).join(earlier, ["f1", "f2"], "left")
+    cut = cut.drop("minimizer")
     met = cut.join(known, ["f1", "f2"])
     whole = F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))
     some = F.transform(
