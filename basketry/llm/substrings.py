@@ -5,8 +5,9 @@ document in every shard would be quadratic, so the shards are cut by content: ev
 ``SPAN`` words goes where its minimizer (its least 7-gram hash) goes, together with the windows
 beside it that have the same one. Such a run of windows is a fragment, and equal windows always
 meet in one shard. A fragment travels only if its minimizer occurs in several documents, and equal
-fragments travel once, with their smallest document. Minimizers with very many fragments are dealt
-window by window instead, so no shard depends on a single one.
+fragments travel once, with their smallest document. Windows of minimizers with very many fragments
+are not indexed: equal ones are combined to their smallest document, so no task depends on a single
+minimizer or window.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .words import VISIBLE, Words, mix, words_of
 
 SPAN = 13
 GRAM = 7
-# Words indexed by one shard, on average; a minimizer above a tenth of it is dealt by window.
+# Words indexed by one shard, on average; a minimizer above a tenth of it is decided by window.
 SHARD_WORDS = 150_000
 
 
@@ -124,33 +125,45 @@ def cut_fragments(docs: DataFrame, wanted: DataFrame, span: int, with_words: boo
     return map_batches(joined, run, "doc long, minimizer long, f1 long, f2 long, " + more)
 
 
+def earlier_hot_windows(hot: DataFrame, span: int) -> DataFrame:
+    """``f1, f2, offset`` of the windows in ``hot`` that occur there with a smaller owner.
+
+    A passage between many different neighbours gives a distinct fragment for each of them, with the
+    same windows inside. Windows are named by 128 bits and combined before the shuffle, so the least
+    owner of one costs a row per task; the rows of a hot window meet it again in a plain join.
+    """
+    last = (F.length("words") / 8).cast("int") - span
+    words = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(i.alias("offset"), F.substr("words", 8 * i + 1, F.lit(8 * span)).alias("words")),
+    )
+    single = hot.select("f1", "f2", "owner", F.explode(words).alias("x"))
+    name = [F.xxhash64("x.words").alias("w1"), F.xxhash64(F.lit(1), "x.words").alias("w2")]
+    windows = stored(single.select("f1", "f2", "owner", "x.offset", *name))
+    ends = windows.groupBy("w1", "w2").agg(F.min("owner").alias("low"), F.max("owner").alias("high"))
+    # Stored, as adaptive execution splits a join only if shuffles are its direct inputs.
+    least = stored(ends.filter(F.col("low") < F.col("high")).select("w1", "w2", "low"))
+    met = windows.join(least, ["w1", "w2"]).filter(F.col("low") < F.col("owner"))
+    return met.select("f1", "f2", "offset")
+
+
 def search_shards(distinct: DataFrame, span: int, shard_words: int) -> DataFrame:
     """``f1, f2, earlier``: offsets of the windows of a fragment that occur with a smaller owner.
 
-    ``distinct`` has ``f1, f2, owner, minimizer, words``.
+    ``distinct`` has ``f1, f2, owner, minimizer, words``. Equal windows have one minimizer, so the
+    fragments of a minimizer are either all indexed or all decided window by window.
     """
     size = (F.length("words") / 8).cast("int")
     per = distinct.groupBy("minimizer").agg(F.sum(size).alias("size"))
-    total = per.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    many = per.filter(F.col("size") > shard_words // 10).select("minimizer", F.lit(True).alias("many"))
-    marked = distinct.join(many, "minimizer", "left")
-    single = F.transform(
-        F.sequence(F.lit(0), size - span),
-        lambda i: F.struct(i.alias("at"), F.substr("words", 8 * i + 1, F.lit(8 * span)).alias("words")),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.col("words").alias("words")))
-    pieces = marked.select(
-        "f1",
-        "f2",
-        "owner",
-        "minimizer",
-        F.coalesce("many", F.lit(False)).alias("many"),
-        F.explode(F.when(F.col("many"), single).otherwise(whole)).alias("piece"),
-    )
-    name = F.when(F.col("many"), F.xxhash64("piece.words")).otherwise(F.xxhash64("minimizer"))
-    dealt = pieces.select(
-        F.pmod(name, F.lit(shards)).cast("int").alias("shard"), "f1", "f2", "owner", "piece.at", "piece.words"
+    large = F.col("size") > shard_words // 10
+    total, hot = per.agg(F.sum(F.when(~large, F.col("size"))), F.count(F.when(large, 1))).first()
+    shards = max(1, -(-(total or 0) // shard_words))
+    rest = distinct
+    if hot:
+        many = stored(per.filter(large).select("minimizer"))
+        rest = distinct.join(many, "minimizer", "left_anti")
+    dealt = rest.select(
+        F.pmod(F.xxhash64("minimizer"), F.lit(shards)).cast("int").alias("shard"), "f1", "f2", "owner", "words"
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -160,10 +173,11 @@ def search_shards(distinct: DataFrame, span: int, shard_words: int) -> DataFrame
         words = np.frombuffer(b"".join(packed), np.uint64)
         piece, offset = earlier_windows(words, lengths, table["owner"].to_numpy(), span)
         found = table.select(["f1", "f2"]).take(pa.array(piece))
-        at = table["at"].to_numpy()[piece] + offset
-        return found.append_column("offset", pa.array(at.astype(np.int32)))
+        return found.append_column("offset", pa.array(offset.astype(np.int32)))
 
     found = dealt.groupBy("shard").applyInArrow(run, "f1 long, f2 long, offset int")
+    if hot:
+        found = found.unionByName(earlier_hot_windows(distinct.join(many, "minimizer", "left_semi"), span))
     return found.groupBy("f1", "f2").agg(F.collect_list("offset").alias("earlier"))
 
 

@@ -121,6 +121,44 @@ def test_substrings(docs, corpus, shard_words):
     assert rows(got) == sorted(brute.substrings(corpus), key=repr)
 
 
+def test_windows_of_a_hot_passage_are_combined_before_they_are_dealt(spark, monkeypatch):
+    """One window in many distinct fragments of one minimizer must not fill one shard."""
+    import numpy as np
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    n, inner = 400, np.arange(1, 14, dtype=np.uint64)
+    pieces = [np.concatenate([[1000 + i], inner, [5000 + i // 2]]).astype(np.uint64) for i in range(n)]
+    pieces += [np.arange(100, 113, dtype=np.uint64), np.arange(100, 114, dtype=np.uint64)]
+    table = [(i, -i, 7 * i % n, 77 if i < n else 78, p.tobytes()) for i, p in enumerate(pieces)]
+    least, expected = {}, {}
+    windows = [(i, k, p[k : k + 13].tobytes()) for i, p in enumerate(pieces) for k in range(len(p) - 12)]
+    for i, _, w in windows:
+        least[w] = min(least.get(w, n), table[i][2])
+    for i, k, w in windows:
+        if least[w] < table[i][2]:
+            expected.setdefault(i, []).append(k)
+    dealt, group = [], DataFrame.groupBy
+
+    def spy(self, *by):
+        dealt.extend([self] if by == ("shard",) else [])
+        return group(self, *by)
+
+    monkeypatch.setattr(DataFrame, "groupBy", spy)
+    distinct = spark.createDataFrame(table, "f1 long, f2 long, owner long, minimizer long, words binary")
+    got = substrings.search_shards(distinct, 13, 1000).collect()
+    assert {r.f1: sorted(r.earlier) for r in got} == expected
+    largest = [group(d, "shard").agg(F.sum(F.length("words") / 8).alias("n")).agg(F.max("n")).first()[0] for d in dealt]
+    assert max(largest) < 100
+
+
+def test_substrings_of_a_passage_between_many_neighbours(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [(i * 37 % 101, f"{'' if i % 9 == 0 else f'a{i} b{i % 5} '}{passage} c{i % 7} d{i} e f") for i in range(101)]
+    out = substrings.drop_repeated_spans(frame(spark, texts), shard_words=600)
+    got = out.select("row.doc_id", "n_words", "n_removed", sha256_text(F.col("kept")))
+    assert rows(got) == sorted(brute.substrings(texts), key=repr)
+
+
 def test_fm_index_counts_like_a_scan():
     import numpy as np
 
