@@ -23,7 +23,8 @@ ZERO_BIN = -100_000
 MIN_GROUP = 200
 # Distance from the quartiles, in quartile ranges, beyond which a value is an outlier.
 REACH = 5.0
-# An outlier counts only beyond these values: (lowest upper cut-off, highest lower cut-off).
+# Without a quartile range there is no distance to measure in; then an outlier counts only beyond
+# these values: (lowest upper cut-off, highest lower cut-off).
 MARGIN = {
     "word_length": (12.0, 2.5),
     "symbol_share": (0.15, None),
@@ -164,10 +165,10 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     picked = []
     for name, (high, low) in MARGIN.items():
         mine = F.col("measure") == name
-        top = F.greatest(F.col("q3") + reach, F.lit(high))
+        top = F.when(reach > 0, F.col("q3") + reach).otherwise(F.greatest("q3", F.lit(high)))
         picked.append(F.max(F.when(mine, top)).alias(f"high_{name}"))
         if low is not None:
-            bottom = F.least(F.col("q1") - reach, F.lit(low))
+            bottom = F.when(reach > 0, F.col("q1") - reach).otherwise(F.least("q1", F.lit(low)))
             picked.append(F.max(F.when(mine, bottom)).alias(f"low_{name}"))
     wide = quartiles.groupBy("level", "lang", "source").agg(*picked, F.max("total").alias("total"))
     enough = F.col("total") >= MIN_GROUP

@@ -306,6 +306,14 @@ def test_quality_cutoffs_follow_the_source(spark):
     assert set(range(300)) | set(range(1000, 1300)) <= kept and 5000 not in kept
 
 
+def test_quality_quantiles_tighten_the_cutoffs(spark):
+    """Words far longer than in the rest of a source are outliers, whatever is usual elsewhere."""
+    text = lambda n, i: " ".join(f"{'x' * (n + (j < i % 20))}{(i * 7 + j * 13) % 997}" for j in range(60))
+    rows_ = [(i, text(4, i), "en", "a") for i in range(300)] + [(5000, text(8, 5), "en", "a")]
+    out = quality.judge_quality(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in out.filter("kept").collect()} == set(range(300))
+
+
 def test_quality_sketch_quantiles(spark):
     import numpy as np
 
