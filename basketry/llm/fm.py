@@ -64,7 +64,7 @@ def suffix_array(symbols: np.ndarray, longest: int) -> np.ndarray:
 
 
 class FmIndex:
-    """Compressed index of pieces, sequences of 64-bit words.
+    """Index of pieces, sequences of 64-bit words. Its text and suffix array are kept uncompressed.
 
     A separator ends each piece. Separators differ from each other for the suffix order, so the
     order is decided inside a piece; in the index they are one symbol that no search asks for.

@@ -1,6 +1,6 @@
 """Substring dedup: spans of words that already occur in an earlier document.
 
-Documents are searched in shards, each with a compressed FM-index of its own. Searching every
+Documents are searched in shards, each with an FM-index of its own. Searching every
 document in every shard would be quadratic, so the shards are cut by content: every window of
 ``SPAN`` words goes where its minimizer (its least 7-gram hash) goes, together with the windows
 beside it that have the same one. Such a run of windows is a fragment, and equal windows always
