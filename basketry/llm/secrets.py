@@ -125,6 +125,8 @@ def _deviation(df: DataFrame) -> DataFrame:
 def discoveries(tokens: DataFrame) -> DataFrame:
     """The rows of ``tokens`` that count as random; ``tokens`` has ``token`` and any other columns.
 
+    Strings that match ``WORD`` (letters of one case) are the reference and never count as random.
+
     Counts per (length class, deviation class) are all that is compared across the corpus; there
     are at most a few hundred of them whatever its size.
     """
