@@ -82,13 +82,13 @@ class Field:
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub("[0-9]", "9", token[:24])))
+    return re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub("[0-9]", "9", token)))
 
 
 def _features(text: str, a: int, b: int) -> list[int]:
     token = text[a:b]
     before, after = text[max(0, a - 24) : a].split(), text[b : b + 24].split()
-    digits = re.sub("[^0-9]", "", token[:64])
+    digits = re.sub("[^0-9]", "", token)
     names = [
         "shape=" + _shape(token),
         "core=" + _shape(token.strip(".,;:!?()[]{}\"'")),

@@ -180,6 +180,14 @@ def test_personal_data(docs, corpus):
         assert all(a.end <= b.start or b.end <= a.start for a in r.added for b in r.base)
 
 
+def test_features_read_whole_tokens():
+    """A number at the end of a long token counts."""
+    features = lambda tail: pii._features(t := "x-" * 50 + tail, 0, len(t))
+    card, other = features("4539148803436467"), features("4539148803436468")
+    assert [i for i in range(len(card)) if card[i] != other[i]] == [3]
+    assert features("ab1")[0] != features("1ab1")[0] and features("ab1")[2] != features("ab12")[2]
+
+
 def test_field_carries_labels_to_repeated_tokens():
     import numpy as np
 
