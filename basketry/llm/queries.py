@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .alignment import Aligner, align_tokenizers, byte_level, pieces
 from .bpe import encode_texts
 from .common import given_id, read_table, sha256_text
 from .contamination import contaminated, measure_contamination
 from .lines import drop_repeated_lines
+from .links import SQL as URL_SQL
+from .links import judge_urls
 from .near import group_near_duplicates
 from .pii import KINDS, find_personal_data
 from .quality import judge_quality
 from .secrets import count_kind, find_secrets, span_text
 from .sharding import shard_rows
 from .substrings import drop_repeated_spans
+from .variants import count_words, group_spellings
 from .warc import read_pages, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +171,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     write_archives(read_table(spark, sf_dir, "pages"), path)
     return read_pages(spark, path).drop("payload")
+
+
+@query("op11_url_filters", URL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(read_table(spark, sf_dir, "pages"))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(read_table(spark, sf_dir, "documents"), min_chars=6, min_count=5, typo_every=199)
+    return group_spellings(words, ratio=5)
+
+
+@lru_cache(maxsize=1)
+def public_aligner() -> Aligner:
+    """The two vocabularies, found on the machine of the task."""
+    a = byte_level(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return Aligner(a, pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), public_aligner)

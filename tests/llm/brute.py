@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -171,3 +172,116 @@ def warc(pages):
         digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
         out.append((p, len(body), digest, "response" if p == top else "revisit", None if p == top else top))
     return out
+
+
+def url_parts(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.translate(FOLD), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def urls(pages, rules, threshold=1.0, damping=0.85, steps=20):
+    """(page_id, host, path, rule, verdict) of (page_id, url, linked hosts)."""
+    judged, links = [], Counter()
+    trusted, blocked = Counter(), Counter()
+    for page, url, linked in pages:
+        host, path = url_parts(url)
+        fits = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rule = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+        judged.append((page, host, path, rule))
+        if host:
+            if rule:
+                (trusted if rule[2] == "allow" else blocked)[host] += 1
+            links.update((host, other) for other in set(linked) - {host})
+    hosts = {h for h in trusted} | {h for h in blocked} | {h for e in links for h in e}
+    out, into = Counter(), Counter()
+    for (a, b), n in links.items():
+        out[a] += n
+        into[b] += n
+    trust, distrust = ({h: (1 - damping) * s[h] for h in hosts} for s in (trusted, blocked))
+    for _ in range(steps):
+        t, d = ({h: (1 - damping) * s[h] for h in hosts} for s in (trusted, blocked))
+        for (a, b), n in links.items():
+            t[b] += damping * trust[a] * n / out[a]
+            d[a] += damping * distrust[b] * n / into[b]
+        trust, distrust = t, d
+    rows = []
+    for page, host, path, rule in judged:
+        t, d = trust.get(host, 0.0), distrust.get(host, 0.0)
+        verdict = rule[2] if rule else "block" if d - threshold * t > 1e-9 * (t + d) else "allow"
+        rows.append((page, host, path, rule and rule[0] + rule[1], verdict))
+    return rows
+
+
+def spelling_words(docs, typo_every=199, min_chars=6, min_count=5):
+    counts = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = run.translate(FOLD)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if typo_every and h % typo_every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= min_chars and n >= min_count}
+
+
+def spellings(words, ratio=5):
+    """(word, n, n_near, form, form_n, root), by trying every edit of every word."""
+    letters = {c for w in words for c in w}
+    form, near = {}, {}
+    for w in words:
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        edits = {a + b[1:] for a, b in cuts if b} | {a + c + b for a, b in cuts for c in letters}
+        edits |= {a + c + b[1:] for a, b in cuts if b for c in letters}
+        near[w] = [x for x in edits - {w} if x in words]
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return [(w, n, len(near[w]), form[w], words[form[w]] if form[w] else None, root(w)) for w, n in words.items()]
+
+
+def alignment(docs, encode_a, encode_b, bytes_a, bytes_b):
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum) by comparing byte ranges."""
+    made, holders = [], Counter()
+    for d, t in docs:
+        raw = (" " + (t or "")).encode()
+        ids = [encode_a(t), encode_b(t)] if t else [[], []]
+        if any(b"".join(table[i] for i in x) != raw for table, x in zip((bytes_a, bytes_b), ids)):
+            ids = [[], []]
+        spans = []
+        for table, x in zip((bytes_a, bytes_b), ids):
+            at, side = 0, []
+            for i in x:
+                side.append((at, at + len(table[i]), i))
+                at += len(table[i])
+            spans.append(side)
+        shared = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        written, low = [], 0
+        for cut in shared:
+            written.append("|".join(",".join(str(i) for _, e, i in side if low < e <= cut) for side in spans))
+            low = cut
+        links, j = [], 0
+        for s, e, i in spans[0]:
+            while j and spans[1][j][0] > s:
+                j -= 1
+            while spans[1][j][1] <= s:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][0] < e:
+                links.append((i, spans[1][k][2]))
+                k += 1
+        holders.update(set(links))
+        digest = hashlib.sha256(";".join(written).encode()).hexdigest() if written else ""
+        made.append((d, len(ids[0]), len(ids[1]), len(shared), digest, links))
+    highest = Counter()
+    for (i, _), n in holders.items():
+        highest[i] = max(highest[i], n)
+    return [
+        (d, a, b, g, len(links), digest, sum(holders[p] == highest[p[0]] for p in links), sum(holders[p] for p in links))
+        for d, a, b, g, digest, links in made
+    ]
