@@ -5,11 +5,8 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
@@ -17,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import exclude_seen
 from ..operators.metrics import ranking_metrics, roem
-from ..operators.ordered import dense_ids, running_totals, top_k
+from ..operators.ordered import dense_ids, running_totals
 from ..operators.splits import fold_pair
 from ..session import checkpoint_root, freeze
+from .tiles import BLOCK_USERS, TILE_ITEMS, best_unseen, count_better, item_tiles, user_vectors
 
 # The default hyper-parameters and list length.
 DEFAULTS = {"rank": 10, "max_iter": 10, "reg": 0.05, "alpha": 50.0}
@@ -130,31 +128,18 @@ def as_lists(topk: DataFrame, user: str = "user", item: str = "item", score: str
 
 
 def recommend_unseen(
-    model: ALSModel, seen: DataFrame, k: int = TOP_K, users: DataFrame | None = None
+    model: ALSModel, seen: DataFrame, k: int = TOP_K, users: DataFrame | None = None, tile: int = TILE_ITEMS
 ) -> DataFrame:
-    """Exactly the k best unseen items per user.
+    """Exactly the k best unseen items per user: ``user, item, prediction``.
 
-    A user with s seen items needs the best k + s to be sure of k unseen ones. Users are handled in
-    tiers of similar s (each tier twice the one before), so long histories make only their own
-    lists longer, and nothing has to be repeated or cut.
+    Seen items are masked while tiles of items are scored, longest vectors first, and a user is done
+    as soon as no further tile can change the list. Lists never grow with what a user has.
     """
-    if users is None:
-        users = model.userFactors.select(F.col("id").alias("user"))
-    seen = seen.select("user", "item").distinct()
-    counts = seen.groupBy("user").agg(F.count(F.lit(1)).alias("__seen"))
-    counted = users.select("user").distinct().join(counts, "user", "left").fillna(0, ["__seen"])
-    # Upper bound of the tier: 0, 16, 32, 64, ...
-    doublings = F.ceil(F.log2(F.greatest(F.col("__seen") / 16, F.lit(1.0))))
-    bound = F.when(F.col("__seen") == 0, F.lit(0)).otherwise(F.lit(16) * F.pow(F.lit(2), doublings))
-    tiered = freeze(counted.select("user", bound.cast("long").alias("__bound")))
-    bounds = [row[0] for row in tiered.select("__bound").distinct().collect()]
-    n_items = model.itemFactors.count()
-    lists = [
-        recommend(model, tiered.filter(F.col("__bound") == b), min(k + b, n_items))
-        for b in sorted(bounds) or [0]
-    ]
-    candidates = flatten_recs(reduce(DataFrame.unionByName, lists))
-    return top_k(exclude_seen(candidates, seen), k)
+    owned = seen.select("user", "item").distinct()
+    if users is not None:
+        users = users.select("user").distinct()
+        owned = owned.join(users, "user", "left_semi")
+    return best_unseen(user_vectors(model, users), item_tiles(model, tile), owned, k)
 
 
 def param_grid(spec: Mapping[str, Sequence]) -> list[dict]:
@@ -189,21 +174,20 @@ def evaluate_model(
 
 
 def unseen_percentiles(
-    model: ALSModel, seen: DataFrame, held: DataFrame, tile: int = 4_096, users_per_block: int = 4_096
+    model: ALSModel, seen: DataFrame, held: DataFrame, tile: int = TILE_ITEMS, users_per_block: int = BLOCK_USERS
 ) -> DataFrame:
     """``user, item, rating, percent_rank``: place of each held pair among all unseen items of its user.
 
     0 is the best place. ``held`` has no seen pairs; pairs with an unknown user or item are dropped.
-    Blocks of users meet tiles of items in one bounded matrix product each, which returns how many
-    items of the tile score higher than each held pair; no user x item pairs are written.
+    Better items are counted between the held scores of a user, tile by tile; tiles whose items all
+    lie below them are skipped.
     """
-    users = model.userFactors.select(F.col("id").alias("user"), F.col("features").cast("array<double>").alias("uf"))
-    items = model.itemFactors.select(F.col("id").alias("item"), F.col("features").cast("array<double>").alias("vf"))
-    users, items = freeze(users), freeze(items)
+    users = freeze(user_vectors(model, held.select("user").distinct()))
+    tiles = item_tiles(model, tile)
     dot = F.aggregate(F.zip_with("uf", "vf", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
     def scored(pairs: DataFrame) -> DataFrame:
-        known = pairs.join(users, "user").join(items, "item")
+        known = pairs.join(users.drop("norm"), "user").join(tiles.items.drop("tile"), "item")
         return known.withColumn("score", dot).drop("uf", "vf")
 
     wanted = scored(held.select("user", "item", F.col("rating").cast("double").alias("rating")))
@@ -213,34 +197,11 @@ def unseen_percentiles(
     both = freeze(wanted.unionByName(own))
     order = [F.col("score").desc(), F.col("__seen").asc(), F.col("item").asc()]
     placed = running_totals(both, ["user"], order, {"seen": F.col("__seen")}).filter(F.col("__seen") == 0)
-
-    n_items = items.count()
-    tiles = max(1, -(-n_items // tile))
-    blocks = max(1, -(-wanted.select("user").distinct().count() // users_per_block))
-    left = wanted.join(users, "user").select(
-        "user", "item", "score", "uf", F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int").alias("block")
-    )
-    left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    right = items.select("vf", F.pmod(F.xxhash64("item"), F.lit(tiles)).cast("int").alias("tile"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def count_better(pairs: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        better = np.zeros(len(pairs), np.int64)
-        if len(part) and len(pairs):
-            matrix = np.stack(part["vf"].to_numpy())
-            for i in range(0, len(pairs), 512):
-                rows = pairs.iloc[i : i + 512]
-                score = rows["score"].to_numpy()[:, None]
-                all_scores = np.stack(rows["uf"].to_numpy()) @ matrix.T
-                better[i : i + 512] = (all_scores > score + 1e-9 * (1 + np.abs(score))).sum(axis=1)
-        return pairs[["user", "item"]].assign(better=better)
-
-    counted = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile"))
-    counted = counted.applyInPandas(count_better, "user int, item int, better long")
-    totals = counted.groupBy("user", "item").agg(F.sum("better").alias("better"))
-    others = F.lit(n_items) - F.col("seen_total") - 1
-    rank = F.when(others > 0, (F.col("better") - F.col("seen_before")) / others).otherwise(F.lit(0.0))
-    return placed.join(totals, ["user", "item"]).select("user", "item", "rating", rank.alias("percent_rank"))
+    counted = count_better(users, tiles, wanted.select("user", "score"), users_per_block)
+    better = F.coalesce("better", F.lit(0)) - F.col("seen_before")
+    others = F.lit(tiles.n_items) - F.col("seen_total") - 1
+    rank = F.when(others > 0, better / others).otherwise(F.lit(0.0))
+    return placed.join(counted, ["user", "score"], "left").select("user", "item", "rating", rank.alias("percent_rank"))
 
 
 def _run(name: str, params: dict, fold: int, train: DataFrame, held: DataFrame, k: int, candidates: str, seed: int):

@@ -25,6 +25,8 @@ from basketry.plans.model import (
     score_pairs,
     select_best,
 )
+from basketry.plans import tiles as tiles_module
+from basketry.plans.tiles import best_unseen, count_better, item_tiles, user_vectors
 from basketry.plans.scenarios import (
     ab_test,
     ctr,
@@ -227,3 +229,44 @@ def test_best_model_is_fitted_again(spark, pairs):
     assert best_model(pairs, results).rank == 3
     with pytest.raises(ValueError):
         best_model(pairs, results.limit(0))
+
+
+@pytest.mark.parametrize("tile,block,k", [(8192, 8192, 8), (7, 4, 8), (1, 2, 3), (60, 1, 100)])
+def test_tiles_give_the_same_lists(spark, pairs, model, tile, block, k):
+    """Item for item against all predictions, ties by item, with few and many tiles."""
+    seen = pairs.select("user", "item").distinct()
+    every = {(r.user, r.item): r.prediction for r in score_pairs(model, pairs.select("user").distinct().crossJoin(pairs.select("item").distinct())).collect()}
+    owned = {tuple(r) for r in seen.collect()}
+    want = set()
+    for user in {u for u, _ in every}:
+        free = sorted((-round(s, 5), i) for (u, i), s in every.items() if u == user and (u, i) not in owned)
+        want |= {(user, i) for _, i in free[:k]}
+    got = best_unseen(user_vectors(model), item_tiles(model, tile), seen, k, block).collect()
+    assert len(got) == len(want) and {(r.user, r.item) for r in got} == want
+
+
+def test_users_leave_once_no_tile_can_change_their_list(spark):
+    """One long item vector and many short ones: only users who own the long one go on."""
+
+    class Factors:
+        userFactors = spark.createDataFrame([(u, [1.0, 0.0]) for u in range(40)], "id int, features array<float>")
+        itemFactors = spark.createDataFrame([(0, [9.0, 0.0])] + [(i, [1.0 / i, 0.1]) for i in range(1, 200)], "id int, features array<float>")
+
+    tiles = item_tiles(Factors, 10)
+    assert tiles.longest == sorted(tiles.longest, reverse=True) and len(tiles.longest) == 20
+    seen = spark.createDataFrame([(u, 0) for u in range(5)], "user int, item int")
+    got = best_unseen(user_vectors(Factors), tiles, seen, 1).collect()
+    assert {(r.user, r.item) for r in got} == {(u, int(u < 5)) for u in range(40)}
+
+
+@pytest.mark.parametrize("lists", [4096, 3])
+def test_better_items_are_counted_between_held_scores(spark, pairs, model, lists, monkeypatch):
+    monkeypatch.setattr(tiles_module, "HELD_SCORES", lists)
+    held = spark.createDataFrame([(u, s) for u in range(6) for s in (-1.0, 0.0, 0.2, 0.2, 0.5, 0.9, 7.0)], "user int, score double")
+    users, tiles = user_vectors(model), item_tiles(model, 7)
+    vectors = {r.user: r.uf for r in users.collect()}
+    shelf = [r.vf for r in tiles.items.collect()]
+    got = {(r.user, r.score): r.better for r in count_better(users, tiles, held, 2).collect()}
+    for u, s in {tuple(r) for r in held.collect()}:
+        assert got.get((u, s), 0) == sum(sum(x * y for x, y in zip(vectors[u], v)) > s + 1e-9 * (1 + abs(s)) for v in shelf)
+    assert max(s for _, s in got) < 7.0  # above every bound, so it met no tile
