@@ -1,8 +1,8 @@
 """Order-dependent operators that do not need a whole group in one task.
 
 A window partitioned by customer sorts all rows of that customer in one task, which fails once a
-single customer holds a large share of the data. Every function here therefore looks at group
-sizes first. Ordinary groups use the plain window. Hot groups, and frames without any group, are
+single customer holds a large share of the data. Every function here therefore looks for frequent
+groups first, with a sketch. Ordinary groups use the plain window. Hot groups, and frames without any group, are
 range-partitioned on (group, order): each range counts its own rows, a small table of per-range
 totals supplies the offset of each range, and both add up to the same numbers.
 """
@@ -22,6 +22,8 @@ from ..session import freeze
 HOT_ROWS = 2_000_000
 # Hot keys up to this number are shipped with the plan; more of them are joined as a table.
 MAX_LITERAL_KEYS = 10_000
+# Keys that a sketch of frequent keys keeps track of.
+SKETCH_KEYS = 65_536
 
 _RANGE = "__range"
 
@@ -32,28 +34,46 @@ def same_key(columns: Sequence[str], other_prefix: str) -> Column:
     return reduce(lambda a, b: a & b, pairs)
 
 
+def _frequent(df: DataFrame, key: Column, limit: int) -> DataFrame | list[int]:
+    """Hashes of all keys with more than ``limit`` rows, and perhaps of some with fewer.
+
+    A mergeable sketch of frequent items reads the key columns once, without a shuffle of keys. It
+    tracks ``SKETCH_KEYS`` of them, and misses none with more than 8 / ``SKETCH_KEYS`` of all rows.
+    Where ``limit`` lies below that, rows are counted per key instead.
+    """
+    top = F.expr(f"approx_top_k(k, {SKETCH_KEYS}, {SKETCH_KEYS})")
+    keys = df.select(key.alias("k"))
+    found = keys.agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    if found["n"] <= limit:
+        return []
+    if limit >= found["n"] * 8 / SKETCH_KEYS:
+        return [t["item"] for t in found["top"] if t["count"] > limit]
+    counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("k")
+    few = counts.limit(MAX_LITERAL_KEYS + 1).collect()
+    return [r["k"] for r in few] if len(few) <= MAX_LITERAL_KEYS else freeze(counts)
+
+
 def split_hot(
     df: DataFrame, group: Sequence[str], limit: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups with at most ``limit`` rows, and rows of larger groups (None if no such group).
 
-    The input is stored first, so whatever led to it runs once; the counting job then reads the key
-    columns of the stored table only and combines on the map side.
+    Nothing is written: ``df`` is planned once more for a sketch of its key columns, to which Spark
+    prunes it, and a row's side follows from its key alone. A group of fewer rows may be taken as
+    large; both ways give the same results. Store an input whose key columns alone are costly.
     """
-    df = freeze(df)
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = counts.filter(F.col("__rows") > limit).select(
-        *[F.col(c).alias("__hot_" + c) for c in group]
-    )
-    found = hot.limit(MAX_LITERAL_KEYS + 1).collect()
-    if not found:
-        return df, None
-    if len(found) <= MAX_LITERAL_KEYS:
-        keys = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    else:
-        keys = freeze(hot)
-    match = same_key(group, "__hot_")
-    return df.join(keys, match, "left_anti"), df.join(keys, match, "left_semi")
+    key = F.xxhash64(*group)
+    hot = _frequent(df, key, limit)
+    if isinstance(hot, list):
+        if not hot:
+            return df, None
+        if len(hot) <= MAX_LITERAL_KEYS:
+            return df.filter(~key.isin(hot)), df.filter(key.isin(hot))
+        # At most SKETCH_KEYS numbers.
+        hot = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in hot], "k long"))
+    match = key == F.col("__hot_key")
+    hot = hot.select(F.col("k").alias("__hot_key"))
+    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
 
 
 def _running_over_window(
@@ -172,6 +192,7 @@ def _tie_ranks(df: DataFrame, group: Sequence[str], score: str, hot_rows: int) -
     )
     if hot is None:
         return result
+    hot = freeze(hot)
     keys = [*group, score]
     levels = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("__ties"))
     levels = _running_over_ranges(levels, group, [F.col(score).desc()], {"__w": F.col("__ties")})

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import freeze
 from .ordered import positions, same_key, split_hot, top_k
 
 # Members of one block of a large group: at most this number squared pairs per join key.
@@ -41,7 +42,7 @@ def pairs_within(
     if large is None:
         return pairs
 
-    members = large.distinct()
+    members = freeze(large.distinct())
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__members"))
     blocks = F.ceil(F.col("__members") / F.lit(float(block_members)))
     members = members.join(sizes, group).select(

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators import ordered
 from basketry.operators.ordered import (
     avg_rank_pct,
     dense_ids,
@@ -44,6 +45,28 @@ def test_null_group_can_be_hot(skewed):
     assert hot.filter("user IS NULL").count() == 20
 
 
+@pytest.mark.parametrize("sketch,literals", [(64, 10_000), (64, 0), (8_192, 10_000), (8_192, 0)])
+@pytest.mark.parametrize("limit", [2_500, 40])
+def test_frequent_keys_are_found_among_many(spark, monkeypatch, sketch, literals, limit):
+    """Twenty thousand keys, more than a small sketch tracks; one key has a third of all rows."""
+    monkeypatch.setattr(ordered, "SKETCH_KEYS", sketch)
+    monkeypatch.setattr(ordered, "MAX_LITERAL_KEYS", literals)
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 300 == 1, F.lit(None)).otherwise(F.col("id").cast("string"))
+    df = spark.range(0, 30_000, 1, 7).select(key.alias("user"), "id")
+    ordinary, hot = split_hot(df, ["user"], limit)
+    large = {r.user for r in hot.select("user").distinct().collect()}
+    assert large >= ({"hot"} if limit == 2_500 else {"hot", None})
+    assert hot.count() + ordinary.count() == 30_000
+    assert ordinary.select("user").intersect(hot.select("user")).count() == 0
+    assert ordinary.groupBy("user").count().filter(F.col("count") > limit).count() == 0
+
+
+def test_finding_frequent_keys_writes_nothing(skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "freeze", None)
+    assert split_hot(skewed, ["user"], 1000)[1] is None
+    assert split_hot(skewed, ["user"], 50)[1].count() == 100
+
+
 @pytest.mark.parametrize("limit", [0, 15, 50, 1000])
 def test_positions_do_not_depend_on_the_path(skewed, limit):
     got = positions(
