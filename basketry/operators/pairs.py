@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import freeze
-from .ordered import positions, same_key, split_hot, top_k
+from .neighbours import similar_by_vector
+from .ordered import positions, split_hot, top_k
 
 # Members of one block of a large group: at most this number squared pairs per join key.
 BLOCK_MEMBERS = 1_000
@@ -201,14 +202,17 @@ def similar_by_attributes(
 ) -> DataFrame:
     """The ``n`` items of equal ``block`` attributes closest in ``numeric`` (price, size, ...).
 
-    Several numeric attributes give the Euclidean distance over them; scale them before the call.
-    Items without a value in one of them are left out, equal distances are ordered by item, and the
-    work is that of ``similar_by_vector``.
+    Items without a value in a numeric attribute are left out.
 
-    Along the sorted attribute the n closest items lie among the n before and the n after, so each
-    item only looks at 2n neighbours. Blocks are cut into sections of consecutive positions, with n
-    rows of the adjoining sections added, which keeps tasks small whatever the block size.
-    Equal distances are ordered by closeness in the sorted list, then by position.
+    Several numeric attributes give the Euclidean distance over them, rounded to six decimals; scale
+    them before the call. Equal distances are ordered by item. Large blocks are searched by cells,
+    as in ``similar_by_vector``.
+
+    A single attribute needs no pairs: along its sorted list the n closest items lie among the n
+    before and the n after, so each item only looks at 2n neighbours. Blocks are cut into sections
+    of consecutive positions, with n rows of the adjoining sections added, which keeps tasks small
+    whatever the block size. Equal distances are ordered by steps along the list, which is sorted by
+    value and item, then by position.
     """
     block = list(block)
     if not isinstance(numeric, str):
@@ -253,82 +257,3 @@ def similar_by_attributes(
         F.col("__best.distance").alias("distance"),
         (F.col("__rank") + 1).alias("rank"),
     )
-
-
-def _tile_top_k(k: int, decimals: int, measure: str):
-    import numpy as np
-    import pandas as pd
-
-    def best_of_tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            ids = queries["item"].iloc[:0].reset_index(drop=True)
-            return pd.DataFrame({"item": ids, "other": ids, "similarity": np.empty(0)})
-        q = np.stack(queries["vector"].to_numpy()).astype("float64")
-        c = np.stack(candidates["vector"].to_numpy()).astype("float64")
-        if measure == "cosine":
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            c /= np.linalg.norm(c, axis=1, keepdims=True)
-        q_ids, c_ids = queries["item"].to_numpy(), candidates["item"].to_numpy()
-        order = np.argsort(c_ids, kind="stable")
-        c, c_ids = c[order], c_ids[order]
-        if measure == "cosine":
-            scores = q @ c.T
-        else:  # attribute by attribute: differences stay exact where a product would cancel
-            scores = -np.sqrt(sum((q[:, None, d] - c[None, :, d]) ** 2 for d in range(q.shape[1])))
-        scores = np.round(scores, decimals)
-        scores[q_ids[:, None] == c_ids[None, :]] = -np.inf
-        # A stable sort over candidates in id order breaks equal scores by the smaller id.
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame(
-            {
-                "item": np.repeat(q_ids, best.shape[1]),
-                "other": c_ids[best].ravel(),
-                "similarity": np.take_along_axis(scores, best, axis=1).ravel(),
-            }
-        )
-        return out[np.isfinite(out["similarity"])]
-
-    return best_of_tile
-
-
-def similar_by_vector(
-    vectors: DataFrame,
-    k: int = 5,
-    item: str = "item",
-    vector: str = "vector",
-    block: str = "label",
-    tile: int = 2_048,
-    decimals: int = 6,
-    measure: str = "cosine",
-) -> DataFrame:
-    """The ``k`` most similar items of the same block, exact; ids of any type.
-
-    ``cosine``, or ``euclidean``: the distance with a minus sign.
-    A block is cut into tiles. Each pair of tiles is one bounded matrix product that returns k rows
-    per item, and the best k over all tiles remain, so pairs are never written out as rows.
-    For the cosine, zero vectors have no direction and are left out.
-    """
-    rows = vectors.select(
-        F.col(item).alias("item"), F.col(vector).alias("vector"), F.col(block).alias("block")
-    ).filter(F.col("vector").isNotNull())
-    if measure == "cosine":
-        rows = rows.filter(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x) > 0)
-    kind = rows.schema["item"].dataType.simpleString()
-    sizes = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tile))).alias("tiles"))
-    sizes = sizes.withColumnRenamed("block", "__k_block")
-    tiled = rows.join(sizes, same_key(["block"], "__k_")).drop("__k_block")
-    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("item"), F.col("tiles")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    own = F.col("own")
-    queries = tiled.select("block", own.alias("i"), every.alias("j"), "item", "vector")
-    # Fresh aliases: both sides of the cogroup come from the same frame.
-    same = [F.col(c).alias(c) for c in ("block", "item", "vector")]
-    candidates = tiled.select(every.alias("i"), own.alias("j"), *same)
-    best = (
-        queries.groupBy("block", "i", "j")
-        .cogroup(candidates.groupBy("block", "i", "j"))
-        .applyInPandas(
-            _tile_top_k(k, decimals, measure), f"item {kind}, other {kind}, similarity double"
-        )
-    )
-    return top_k(best, k, user="item", item="other", score="similarity", rank="rank")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from basketry.operators import neighbours
 from basketry.operators.pairs import (
     basket_pairs,
     bought_together,
@@ -150,3 +151,63 @@ def test_several_attributes_and_text_ids(spark):
         )[:4]
         assert [got[name][i][1] for i in sorted(got[name])] == [w[1] for w in want]
     assert "q" not in got
+
+
+def nearest(points, k, measure, decimals=6):
+    """(item, rank) -> (other, similarity) over all pairs of a block."""
+    out = {}
+    for i, x, block in points:
+        scored = []
+        for j, y, other in points:
+            if i != j and block == other:
+                a, b = (np.array(v, dtype="float64") for v in (x, y))
+                near = a @ b / np.linalg.norm(a) / np.linalg.norm(b) if measure == "cosine" else -np.linalg.norm(a - b)
+                scored.append((-round(float(near), decimals), j))
+        for place, (s, j) in enumerate(sorted(scored)[:k], start=1):
+            out[i, place] = (j, -s)
+    return out
+
+
+@pytest.mark.parametrize("measure", ["cosine", "euclidean"])
+@pytest.mark.parametrize("tile,cells", [(16, 256), (50, 3), (5, 6)])
+def test_cells_give_the_same_neighbours(spark, monkeypatch, measure, tile, cells):
+    """Clusters, a grid full of ties, a vector shared by a third of all items, blocks of all sizes."""
+    monkeypatch.setattr(neighbours, "MAX_CELLS", cells)
+    monkeypatch.setattr(neighbours, "ASKERS", 20)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(6, 3)) * 5
+    points = [(f"c{i:03}", [float(x) for x in centres[i % 6] + rng.normal(size=3) * 0.1], "a") for i in range(90)]
+    points += [(f"g{i:03}", [float(1 + i % 4), float(1 + i // 4 % 4), 1.0], None) for i in range(48)]
+    points += [(f"h{i:03}", [1.0, 2.0, 3.0], "a" if i % 2 else "b") for i in range(70)]
+    points += [("s1", [1.0, 0.5, 0.0], "small"), ("s2", [0.0, 0.5, 1.0], "small"), ("one", [1.0, 1.0, 1.0], "alone")]
+    df = spark.createDataFrame(points, "id string, v array<double>, kind string").repartition(5)
+    got = similar_by_vector(df, 4, "id", "v", "kind", tile=tile, measure=measure).collect()
+    want = nearest(points, 4, measure)
+    assert len(got) == len(want)
+    for r in got:
+        other, similarity = want[r.item, r["rank"]]
+        assert (r.other, r.similarity) == (other, pytest.approx(similarity, abs=1e-9))
+
+
+def test_far_cells_are_not_asked(spark, monkeypatch):
+    """Clusters far apart: what a vector cannot find there is never sent."""
+    seen = []
+    plain = neighbours.freeze
+    monkeypatch.setattr(neighbours, "freeze", lambda df: seen.append(plain(df)) or seen[-1])
+    rng = np.random.default_rng(3)
+    points = [(i, [float(x) for x in np.eye(8)[i % 8] * 100 + rng.normal(size=8) * 0.01], 0) for i in range(400)]
+    df = spark.createDataFrame(points, "item int, vector array<double>, label int")
+    similar_by_vector(df, 3, tile=50, measure="euclidean").collect()
+    known = next(f for f in seen if "targets" in f.columns)
+    asked = sum(len(r.targets) for r in known.select("targets").collect())
+    cells = next(f for f in seen if "subs" in f.columns).count()
+    assert asked < 0.5 * len(points) * cells
+
+
+def test_euclidean_neighbours_of_the_origin(spark):
+    df = spark.createDataFrame([(i, [0.0, float(i)], 1) for i in range(4)] + [(9, None, 1)], "item int, vector array<double>, label int")
+    got = {r.item: r.other for r in similar_by_vector(df, 1, measure="euclidean").collect()}
+    assert got == {0: 1, 1: 0, 2: 1, 3: 2}
+    with pytest.raises(ValueError):
+        similar_by_vector(df, 1, measure="other")
+    assert similar_by_vector(df.limit(0), 1).collect() == []
