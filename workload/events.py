@@ -19,12 +19,13 @@ from basketry.operators.metrics import (
 from basketry.operators.metrics.beyond import coverage, novelty
 from basketry.operators.ordered import avg_rank_pct, percent_rank_items
 from basketry.operators.pairs import item_similarity
+from basketry.operators.setjoin import most_similar, similar_items
 from basketry.operators.stats import heaviest_users, hit_percentile_range
 from basketry.plans.model import as_lists, flatten_recs, flatten_recs_sql, select_best
 from basketry.plans.scenarios import popularity
 from basketry.session import freeze
 
-from .inputs import K, EventInputs, ev, r6, table
+from .inputs import K, EventInputs, ev, order_lines, r6, table
 from .registry import part, query
 
 
@@ -354,3 +355,45 @@ JOIN all_item_count b ON b.item = p.item_b
 )
 def q091(spark, sf_dir):
     return item_similarity(ev(spark, sf_dir)).withColumn("similarity", r6("similarity"))
+
+
+# Customers as sets of products, of very different sizes.
+part("line_pairs", "SELECT DISTINCT CUST_ID AS customer, PROD_ID AS product FROM order_lines")
+part("line_sizes", "SELECT product, count(*) AS c FROM line_pairs GROUP BY product")
+part(
+    "line_sim",
+    """
+SELECT p.item_a, p.item_b, p.together, p.together / sqrt(CAST(a.c AS DOUBLE) * b.c) AS similarity,
+       p.together / CAST(a.c + b.c - p.together AS DOUBLE) AS overlap
+FROM (SELECT x.product AS item_a, y.product AS item_b, count(*) AS together
+      FROM line_pairs x JOIN line_pairs y ON x.customer = y.customer AND x.product < y.product GROUP BY ALL) p
+JOIN line_sizes a ON a.product = p.item_a
+JOIN line_sizes b ON b.product = p.item_b
+""",
+)
+
+
+@query(
+    "o091_similar_items",
+    "SELECT item_a, item_b, together, round(overlap, 6) AS similarity FROM line_sim WHERE overlap >= CAST(0.06 AS DOUBLE)",
+)
+def q091_threshold(spark, sf_dir):
+    """Products bought by the same customers, above a threshold, without the full table."""
+    found = similar_items(order_lines(spark, sf_dir), 0.06, "CUST_ID", "PROD_ID", "jaccard")
+    return found.withColumn("similarity", r6("similarity"))
+
+
+@query(
+    "o091_most_similar",
+    """
+SELECT item, other, together, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY similarity DESC, other) AS rank
+      FROM (SELECT item_a AS item, item_b AS other, together, similarity FROM line_sim
+            UNION ALL SELECT item_b, item_a, together, similarity FROM line_sim))
+WHERE rank <= 5
+""",
+)
+def q091_best(spark, sf_dir):
+    """The five most similar products of every product."""
+    found = most_similar(order_lines(spark, sf_dir), 5, "CUST_ID", "PROD_ID", levels=(0.3, 0.15))
+    return found.withColumn("similarity", r6("similarity"))
