@@ -64,31 +64,40 @@ def dense_grid(
 ) -> DataFrame:
     """Every user of ``facts`` with every one of ``items``, measures summed, absent pairs 0.
 
-    The facts are aggregated first, then each user's cells on the axis become one map that is read
-    at every item. Work grows with the output alone: there is one shuffle and no join. NULL users
-    and NULL items are on neither axis. For an open axis use ``lookup_cells`` or the sparse frame.
+    The axis is a hash table of the given list, broadcast because the caller holds it: one lookup
+    gives a row its place. Facts are summed per user and place, a user's filled places are sorted,
+    and each fills the gap before it. Work per row and per cell does not depend on the axis; there
+    is one shuffle by user. NULL users and NULL items are on neither axis. For an open axis use
+    ``lookup_cells`` or the sparse frame.
     """
-    item_type = facts.schema[item].dataType
-    axis = F.array(*[F.lit(i).cast(item_type) for i in dict.fromkeys(items) if i is not None])
-    axis = axis if len(items) else axis.cast(f"array<{item_type.simpleString()}>")
-    on_axis = F.array_contains(axis, F.col(item))
+    kind = facts.schema[item].dataType
+    axis = list(dict.fromkeys(i for i in items if i is not None))
+    names = F.array(*[F.lit(i).cast(kind) for i in axis]).cast(f"array<{kind.simpleString()}>")
+    places = F.broadcast(facts.sparkSession.range(1).select(F.posexplode(names).alias("__place", "__axis")))
     known = facts.filter(F.col(user).isNotNull())
-    cells = known.groupBy(user, F.when(on_axis, F.col(item)).alias(item)).agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
-    # At most one entry per item of the axis, whatever else the user has.
+    placed = known.join(places, F.col(item) == F.col("__axis"), "left")
+    cells = placed.groupBy(user, "__place").agg(*[F.sum(m).alias(m) for m in measures])
+    entry = F.struct("__place", F.struct(*measures).alias("sums"))
     per_user = cells.groupBy(user).agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.when(F.col(item).isNotNull(), F.struct(item, F.struct(*measures)))
-            )
-        ).alias("__cells")
+        F.sort_array(F.collect_list(F.when(F.col("__place").isNotNull(), entry))).alias("filled")
     )
-    rows = per_user.select(user, F.explode(axis).alias(item), "__cells")
-    cell = F.try_element_at("__cells", F.col(item))
-    return rows.select(
-        user, item, *[F.coalesce(cell[m], F.lit(0).cast(cells.schema[m].dataType)).alias(m) for m in measures]
+    # Every filled place closes a run of empty ones before it; the end of the axis closes the last.
+    none = F.lit(None).cast(cells.select(F.struct(*measures).alias("sums")).schema["sums"].dataType)
+    ends = F.concat("filled", F.array(F.struct(F.lit(len(axis)).alias("__place"), none.alias("sums"))))
+    runs = F.transform(
+        ends,
+        lambda e, i: F.struct(
+            F.when(i == 0, F.lit(0)).otherwise(F.get("filled", i - 1)["__place"] + 1).alias("first"),
+            e["__place"].alias("last"),
+            e["sums"].alias("sums"),
+        ),
     )
+    run = per_user.select(user, F.explode(runs).alias("run"))
+    last = F.least(F.col("run.last"), F.lit(len(axis) - 1))
+    rows = run.filter(F.col("run.first") <= last).select(user, "run", F.explode(F.sequence("run.first", last)).alias("place"))
+    own = F.col("place") == F.col("run.last")
+    value = lambda m: F.coalesce(F.when(own, F.col(f"run.sums.{m}")), F.lit(0).cast(cells.schema[m].dataType))
+    return rows.select(user, F.get(names, F.col("place")).alias(item), *[value(m).alias(m) for m in measures])
 
 
 def merge_with_indicator(

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import format_report, zero_fill
-from ..session import freeze
-from .ordered import level_quantiles, value_levels
+from .selection import describe_columns
 
 
 def interaction_counts(df: DataFrame, user: str, item: str) -> DataFrame:
@@ -66,33 +65,15 @@ def value_counts(df: DataFrame, cols: str | Sequence[str], ordered: bool = True)
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max, one row per numeric column."""
-    # Counted values hold all figures, so the input is read once.
-    levels = freeze(value_levels(df, cols))
-    n, value = F.col("n"), F.col("value")
-    means = levels.groupBy("column").agg(
-        F.sum("n").alias("count"), (F.sum(value * n) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    off = value - F.col("mean")
-    # Deviations are taken from the mean itself, which keeps large values exact.
-    spread = levels.join(F.broadcast(means), "column").groupBy("column").agg(
-        F.sqrt(F.sum(off * off * n) / F.nullif(F.sum("n") - 1, F.lit(0).cast("long"))).alias("std")
-    )
-    quartiles = level_quantiles(levels, [0.25, 0.5, 0.75])
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    found = names.join(means, "column", "left").join(spread, "column", "left").join(quartiles, "column", "left")
-    return found.select(
-        "column",
-        F.coalesce("count", F.lit(0).cast("long")).alias("count"),
-        "mean",
-        "std",
-        "min",
-        F.col("q_0").alias("p25"),
-        F.col("q_1").alias("p50"),
-        F.col("q_2").alias("p75"),
-        "max",
-    )
+    """count, mean, std, min, quartiles and max, one row per numeric column.
+
+    The columns are read two or three times, see ``describe_columns``; store an input whose plan is
+    costly. A column without values has count 0 and NULLs.
+    """
+    found = describe_columns(df, cols, [0.25, 0.5, 0.75])
+    rows = [(r["column"], r["count"], r["mean"], r["std"], r["min"], *r["quantiles"], r["max"]) for r in found]
+    measures = ", ".join(f"{c} double" for c in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+    return df.sparkSession.createDataFrame(rows, f"column string, count long, {measures}")
 
 
 def basket_long(lines: DataFrame, order: str = "BE_ORDER_ID", sku: str = "SKU", qty: str = "PROD_QTY") -> DataFrame:
