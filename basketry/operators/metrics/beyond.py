@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...session import freeze
 from ..pairs import item_similarity, pairs_within
 
 
@@ -97,7 +98,7 @@ def diversity_metrics(
 ) -> DataFrame:
     """One row with all five values."""
     if similarity is None:
-        similarity = item_similarity(train, user, item)
+        similarity = freeze(item_similarity(train, user, item))  # two metrics read it
     mean_diversity = user_diversity(reco, similarity, user, item).agg(F.avg("diversity")).scalar()
     surprise = user_serendipity(train, reco, similarity, user, item, relevance)
     return coverage(train, reco, item).select(
