@@ -204,6 +204,8 @@ def repeated_spans(
     earlier = stored(search_shards(distinct, span, shard_words))
     remove_path(spark, place)
     known = owned.select("f1", "f2", F.col("doc").alias("owner")).join(earlier, ["f1", "f2"], "left")
+    # Stored for the same reason as above: a fragment may have a third of all rows.
+    known = stored(known)
     cut = cut.drop("minimizer")
     met = cut.join(known, ["f1", "f2"])
     whole = F.array(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))
