@@ -243,25 +243,22 @@ def drop_repeated_spans(
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, found = batch.column("row"), batch.column("spans")
-        for w in words_of(batch.column("text"), VISIBLE, False):
-            removed, kept = [], []
-            for r in range(w.rows):
-                a, b = int(w.first[r]), int(w.first[r + 1])
-                edge = np.zeros(b - a + 1, np.int64)
-                spans_here = found[w.at + r]
-                if spans_here.is_valid:
-                    np.add.at(edge, spans_here.values.field("start").to_numpy(), 1)
-                    np.add.at(edge, spans_here.values.field("end").to_numpy(), -1)
-                stay = np.cumsum(edge)[:-1] == 0
-                left = np.flatnonzero(stay) + a
-                removed.append(b - a - len(left))
-                kept.append(b" ".join([w.text(i) for i in left.tolist()]))
+        for w in words_of(batch.column("text"), VISIBLE, False, hashed=False):
+            lists = found.slice(w.at, w.rows)
+            spans = lists.flatten()
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            first = np.repeat(w.first[:-1], n)
+            edge = np.zeros(len(w.start) + 1, np.int64)
+            np.add.at(edge, first + spans.field("start").to_numpy(), 1)
+            np.add.at(edge, first + spans.field("end").to_numpy(), -1)
+            stay = np.cumsum(edge)[:-1] == 0
+            until = np.concatenate([[0], np.cumsum(~stay)])[w.first]
             yield _batch(
                 {
                     "row": rows.slice(w.at, w.rows),
                     "n_words": pa.array(np.diff(w.first).astype(np.int64)),
-                    "n_removed": pa.array(removed, pa.int64()),
-                    "kept": pa.array(kept, pa.binary()).cast(pa.string()),
+                    "n_removed": pa.array(np.diff(until).astype(np.int64)),
+                    "kept": w.joined(stay),
                 }
             )
 

@@ -81,6 +81,20 @@ class Words:
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def joined(self, stay: np.ndarray) -> pa.Array:
+        """Text of every row from the words that ``stay``, by single spaces."""
+        chosen = np.flatnonzero(stay)
+        size = self.end[chosen] - self.start[chosen] + 1
+        kept_until = np.concatenate([[0], np.cumsum(stay)])[self.first]
+        final = kept_until[1:][np.diff(kept_until) > 0] - 1
+        size[final] -= 1  # no space after the last word of a row
+        until = np.cumsum(size)
+        source = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(self.start[chosen] - until + size, size)
+        body = np.append(self.data, np.uint8(0))[source]  # each word and the byte after it
+        body[np.delete(until - 1, final)] = 0x20
+        offsets = np.concatenate([[0], until])[kept_until].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), self.rows, [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all windows of ``k`` consecutive words of one row."""
         n = len(self.hash) - k + 1
@@ -109,8 +123,11 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool) ->
     return mix(out + (end - start).astype(np.uint64))
 
 
-def words_of(texts: pa.Array, kind: np.ndarray, fold: bool) -> Iterator[Words]:
-    """Words of every row, some rows at a time; NULL has none. ``fold`` hashes A-Z as a-z."""
+def words_of(texts: pa.Array, kind: np.ndarray, fold: bool, hashed: bool = True) -> Iterator[Words]:
+    """Words of every row, some rows at a time; NULL has none. ``fold`` hashes A-Z as a-z.
+
+    Without ``hashed`` the words have no hashes, which saves most of the work.
+    """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     for at, to in by_weight(texts):
         part = texts.slice(at, to - at)
@@ -124,4 +141,5 @@ def words_of(texts: pa.Array, kind: np.ndarray, fold: bool) -> Iterator[Words]:
         inside[offsets] = False
         start = np.flatnonzero(mask & ~inside[:-1])
         end = np.flatnonzero(mask & ~inside[1:]) + 1
-        yield Words(at, np.searchsorted(start, offsets), start, end, _hashes(data, start, end, fold), data)
+        hashes = _hashes(data, start, end, fold) if hashed else np.empty(0, np.uint64)
+        yield Words(at, np.searchsorted(start, offsets), start, end, hashes, data)
