@@ -83,17 +83,27 @@ class FmIndex:
         order[ends] = np.arange(count)
         self.order = suffix_array(order, int(lengths.max()) + 1)
         alphabet = len(words) + 1
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:-1]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])
         self.tree = WaveletMatrix(text[self.order - 1], alphabet)
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix interval of every row of ``patterns`` (symbols), by backward search."""
-        m = len(patterns)
-        ends = np.concatenate([np.zeros(m, np.int64), np.full(m, len(self.text), np.int64)])
-        for j in reversed(range(patterns.shape[1])):
-            symbol = np.concatenate([patterns[:, j]] * 2)
-            ends = self.first[symbol] + self.tree.count(symbol, ends)
-        return ends[:m], ends[m:]
+    def search(self, at: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the words before each place ``at``, and their suffix intervals.
+
+        Backward search takes one more word in front per step, up to ``longest`` in all, and stops
+        where what it has occurs once only. The statistic is the number of words that occur again
+        elsewhere; the interval is that of the last step.
+        """
+        symbol = self.text[at - 1]
+        low, high = self.first[symbol], self.first[symbol + 1]
+        matched = np.where(high - low > 1, 1, 0)
+        going = np.flatnonzero(matched)
+        for j in range(2, longest + 1):
+            symbol = np.tile(self.text[at[going] - j], 2)
+            ends = self.first[symbol] + self.tree.count(symbol, np.concatenate([low[going], high[going]]))
+            low[going], high[going] = np.split(ends, 2)
+            going = going[high[going] - low[going] > 1]
+            matched[going] = j
+        return matched, low, high
 
 
 def earlier_windows(
@@ -101,8 +111,9 @@ def earlier_windows(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Piece and offset of the windows of ``span`` words that occur in a piece of a smaller owner.
 
-    All pieces are indexed; then the windows of all pieces are streamed through the index, and the
-    smallest owner of every suffix interval tells whether a match is an earlier one.
+    All pieces are indexed; then the windows of all pieces are streamed through the index. Those
+    whose matching statistic reaches ``span`` occur several times, and the smallest owner of their
+    suffix interval tells whether one is an earlier one.
     """
     index = FmIndex(pieces, lengths)
     owners = owner[index.piece[index.order]]
@@ -113,16 +124,16 @@ def earlier_windows(
     at = start[piece] + offset
     out_piece, out_offset = [], []
     for i in range(0, len(at), step):
-        part = at[i : i + step]
-        low, high = index.search(index.text[part[:, None] + np.arange(span)])
+        matched, low, high = index.search(at[i : i + step] + span, span)
+        again = np.flatnonzero(matched == span)
         # Intervals of one length are equal or disjoint.
-        begins, which = np.unique(low, return_inverse=True)
+        begins, which = np.unique(low[again], return_inverse=True)
         ends = np.zeros(len(begins), np.int64)
-        ends[which] = high
+        ends[which] = high[again]
         edges = np.ravel(np.column_stack([begins, ends]))
         padded = np.append(owners, np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(padded, edges)[::2]
-        hit = np.flatnonzero(least[which] < owner[piece[i : i + step]])
+        least = np.minimum.reduceat(padded, edges)[::2] if len(edges) else padded[:0]
+        hit = again[least[which] < owner[piece[i + again]]]
         out_piece.append(piece[i + hit])
         out_offset.append(offset[i + hit])
     none = [np.empty(0, np.int64)]

@@ -54,6 +54,20 @@ def _batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def shared_minimizers(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """``minimizer`` of the fragments that lie in several documents."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for w in words_of(batch.column("text"), VISIBLE, False):
+            at, _, least = fragments(w, span, gram)
+            doc = batch.column("doc").take(pa.array(w.row[at] + w.at))
+            yield _batch({"minimizer": pa.array(least.view(np.int64)), "doc": doc})
+
+    found = map_batches(docs.select("doc", "text"), run, "minimizer long, doc long")
+    ends = found.groupBy("minimizer").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    return ends.filter(F.col("low") < F.col("high")).select("minimizer")
+
+
 def minimizers(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """``doc, text_key, minimizer, pos, windows`` of every fragment."""
 
@@ -189,8 +203,7 @@ def repeated_spans(
     ``docs`` has ``doc`` (not NULL), ``text_key`` and ``text``.
     """
     found = minimizers(docs, span, gram)
-    ends = found.groupBy("minimizer").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    several = stored(ends.filter(F.col("low") < F.col("high")).select("minimizer"))
+    several = stored(shared_minimizers(docs, span, gram))
     spark, place = docs.sparkSession, scratch_path(docs.sparkSession, "shared")
     cut = stored(cut_fragments(docs, stored(found.join(several, "minimizer"), place), span, False))
     remove_path(spark, place)

@@ -167,10 +167,14 @@ def test_fm_index_counts_like_a_scan():
     pieces = r.integers(0, 5, int(lengths.sum())).astype(np.uint64)
     index = fm.FmIndex(pieces, lengths)
     cut = np.split(pieces, np.cumsum(lengths)[:-1])
-    for pattern in ([1, 2], [0, 0, 1], [4], [3, 3, 3, 3]):
-        low, high = index.search(np.array([pattern]) + 1)
-        scan = sum(list(p[i : i + len(pattern)]) == pattern for p in cut for i in range(len(p)))
-        assert high[0] - low[0] == scan
+    places = [(p, e) for p, n in enumerate(lengths) for e in range(6, n + 1)]
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    at = np.array([begin[p] + e for p, e in places])
+    matched, low, high = index.search(at, 6)
+    for (p, e), m, a, b in zip(places, matched, low, high):
+        found = [sum(list(q[i : i + k]) == list(cut[p][e - k : e]) for q in cut for i in range(len(q))) for k in range(1, 7)]
+        assert m == sum(n > 1 for n in found)
+        assert b - a == found[min(m, 5)]
 
 
 def test_personal_data(docs, corpus):
