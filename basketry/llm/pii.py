@@ -214,10 +214,15 @@ def fit(rows: list, steps: int = 150, rate: float = 0.5, decay: float = 1e-4) ->
 
 
 def training_rows(docs: DataFrame, documents: int, tokens: int) -> list:
-    """At most ``tokens`` labelled tokens from about ``documents`` documents, chosen by hash."""
+    """At most ``tokens`` labelled tokens from about ``documents`` documents, the first by text hash.
+
+    The same rows on any layout: the hash, not the partition, decides what is kept where there are
+    more. Every text has a chance, however many there are.
+    """
     total = docs.count()
-    share = min(1.0, documents / max(1, total))
-    chosen = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003))
+    docs = docs.withColumn("hash", F.xxhash64("text"))
+    until = max(-(2**63), 2**64 * documents // max(1, total) - 2**63)
+    chosen = docs.filter(F.col("hash") < F.lit(until)) if until < 2**63 else docs
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, b in by_weight(batch.column("text")):
@@ -231,16 +236,19 @@ def training_rows(docs: DataFrame, documents: int, tokens: int) -> list:
                     near[name][i].append(-int(field.label[j]) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("hash").take(pa.array(field.text + a)),
+                    pa.array(field.start.astype(np.int64)),
                     pa.array(field.features, pa.list_(pa.int32())),
                     pa.array(field.label.astype(np.int32)),
                     pa.array(near["chain"], pa.list_(pa.int32())),
                     pa.array(near["skip"], pa.list_(pa.int32())),
                 ],
-                ["features", "label", "chain", "skip"],
+                ["hash", "start", "features", "label", "chain", "skip"],
             )
 
-    rows = map_batches(chosen, run, "features array<int>, label int, chain array<int>, skip array<int>")
-    return rows.limit(tokens).collect()
+    fields = "features array<int>, label int, chain array<int>, skip array<int>"
+    rows = map_batches(chosen, run, f"hash long, start long, {fields}")
+    return rows.orderBy("hash", "start").limit(tokens).select("features", "label", "chain", "skip").collect()
 
 
 def added_spans(

@@ -396,3 +396,19 @@ def test_empty_tables(spark, docs, tmp_path):
 )
 def test_odd_rows_come_back(spark, call):
     assert call(frame(spark, ODD)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("documents,tokens", [(10**9, 10**5), (40, 10**5), (10**9, 12), (1, 10**5)])
+def test_training_rows_do_not_depend_on_the_layout(docs, documents, tokens):
+    texts = docs.select("text")
+    a, b = (sorted(map(repr, pii.training_rows(texts.repartition(n), documents, tokens))) for n in (1, 7))
+    assert a == b
+    if (documents, tokens) == (10**9, 10**5):
+        assert len(a) > 12
+    assert len(a) <= tokens
+
+
+def test_training_sample_of_a_huge_corpus_is_not_empty(docs, monkeypatch):
+    """A share far below one in a million still takes texts by their hash."""
+    texts = docs.select("text").filter(F.col("text").contains("@")).filter(F.xxhash64("text") < 0)
+    assert len(pii.training_rows(texts, docs.count() // 2, 10**5)) > 0
