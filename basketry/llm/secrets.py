@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that have no pattern.
 
 Base spans come from three patterns. Every other run of 16 or more token characters is tested for
-randomness in its inferred encoding: uniform use of the alphabet (chi-squared), number of runs above
-and below the middle of the alphabet, and serial correlation of neighbours. The three deviations
+randomness in its inferred encoding: uniform use of the alphabet (chi-squared over its characters, and
+over its kinds: capitals, small letters, digits and signs), number of runs above and below the middle
+of the alphabet, and serial correlation of neighbours. The kinds tell words, paths and identifiers
+from short random strings, in which most characters are missing anyway. The deviations
 are squared and added. How often ordinary long words of the corpus, of the same or a smaller
 length class, look at least as random is the p-value of a string, and the Benjamini-Hochberg rule
 over all strings limits the share of false discoveries. Counts per class decide, so nothing but
@@ -30,11 +32,13 @@ BASE = (
 )
 RANDOM = "random"
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
-# Ordinary words: the reference that strings have to differ from.
-WORD = "^([A-Z]?[a-z]+|[A-Z]+)$"
+# Ordinary words: the reference that strings have to differ from. Capitals alone are neither words,
+# as they may be keys, nor tested, as the letters alone do not tell.
+WORD = "^[A-Z]?[a-z]+$"
+CAPITALS = "^[A-Z]+$"
 FALSE_SHARE = 0.05
-# Upper 0.1 % point of a chi-squared variable with three degrees of freedom.
-MOST_DEVIATION = 16.27
+# Upper 0.1 % point of a chi-squared variable with five degrees of freedom.
+MOST_DEVIATION = 20.52
 STEPS = 2  # classes of deviation per unit
 ENCODINGS = {
     "decimal": ("^[0-9]+$", "0123456789"),
@@ -42,6 +46,8 @@ ENCODINGS = {
     "base32": ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
+# Consecutive characters of one kind in each alphabet.
+CLASSES = {"decimal": (10,), "hex": (10, 6), "base32": (26, 6), "base64": (26, 26, 12)}
 
 
 def _quick(pattern: str, least: int) -> str:
@@ -77,7 +83,7 @@ def matches(rows: DataFrame, kind: str, pattern: str, group: int, least: int) ->
 
 
 def _deviation(df: DataFrame) -> DataFrame:
-    """Add ``encoding`` and ``deviation`` (near chi-squared with 3 degrees of freedom if random)."""
+    """Add ``encoding`` and ``deviation`` (near chi-squared with 5 degrees of freedom if random)."""
     encoding = F.lit("base64")
     for name in ("base32", "hex", "decimal"):
         encoding = F.when(F.col("token").rlike(ENCODINGS[name][0]), name).otherwise(encoding)
@@ -119,19 +125,35 @@ def _deviation(df: DataFrame) -> DataFrame:
     serial = total(F.transform("off", lambda v, i: v * F.coalesce(F.get("off", i + 1), F.lit(0.0))))
     serial_z = F.when(power > 0, (serial / power + 1.0 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
     positive = F.greatest(chi, F.lit(0.0))
-    return df.withColumn("deviation", positive * positive + runs_z * runs_z + serial_z * serial_z)
+    deviation = positive * positive + runs_z * runs_z + serial_z * serial_z
+    return df.withColumn("deviation", deviation + _kinds(F.col("encoding"), F.col("seen"), n))
+
+
+def _kinds(encoding: Column, seen: Column, n: Column) -> Column:
+    """Chi-squared of the kinds of characters (capitals, small letters, digits and signs)."""
+    out = F.lit(0.0)
+    for name, sizes in CLASSES.items():
+        parts, at = F.lit(0.0), 1
+        for size in sizes if len(sizes) > 1 else ():
+            found = F.aggregate(F.slice(seen, at, size), F.lit(0.0), lambda a, v: a + v)
+            expected = n * (size / sum(sizes))
+            parts = parts + (found - expected) * (found - expected) / expected
+            at += size
+        out = F.when(encoding == name, parts).otherwise(out)
+    return out
 
 
 def discoveries(tokens: DataFrame) -> DataFrame:
     """The rows of ``tokens`` that count as random; ``tokens`` has ``token`` and any other columns.
 
-    Strings that match ``WORD`` (letters of one case) are the reference and never count as random.
+    Strings that match ``WORD`` (small letters, perhaps with a capital in front) are the reference and
+    never count as random; strings of capitals alone are left out.
 
     Counts per (length class, deviation class) are all that is compared across the corpus; there
     are at most a few hundred of them whatever its size.
     """
     columns = tokens.columns
-    tested = _deviation(tokens).withColumns(
+    tested = _deviation(tokens.filter(~F.col("token").rlike(CAPITALS))).withColumns(
         {
             "word": F.col("token").rlike(WORD),
             "length": F.floor(2.0 * F.log2(F.char_length("token"))).cast("int"),

@@ -114,6 +114,29 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert [(r.doc_id, r.added[0].start, r.added[0].end, r.added[0].token) for r in found] == [(1000, 2, 66, secret)]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_planted_secrets_among_identifiers_and_capitals(spark, seed):
+    """25 strings per encoding and length, next to words, paths, hyphenated words and random capitals."""
+    import random
+    import string
+
+    r = random.Random(seed)
+    stems = ["ing", "tion", "the", "ment", "able", "her", "and", "stra", "vo", "quel", "ich", "eau"]
+    word = lambda n: "".join(r.choice(stems) for _ in range(n))
+    texts = [f"{word(2)} {word(r.randint(5, 20)).capitalize()} {word(3)}" for _ in range(900)]
+    ordinary = [r.choice("/-_").join(word(r.randint(1, 3)) for _ in range(r.randint(4, 7))) for _ in range(600)]
+    capitals = ["".join(r.choice(string.ascii_uppercase) for _ in range(r.randint(16, 64))) for _ in range(100)]
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF"}
+    planted = {name: ["".join(r.choice(a) for _ in range(n)) for n in (16, 24, 32, 48, 64) for _ in range(25)] for name, a in alphabets.items()}
+    strings = ordinary + capitals + [s for p in planted.values() for s in p]
+    docs = list(enumerate(texts + [f"é {s} so" for s in strings]))
+    found = [a.token for row in secrets.find_secrets(frame(spark, docs)).collect() for a in row.added]
+    for p in planted.values():
+        assert sum(s in set(found) for s in p) >= 0.9 * len(p)
+    secret = {s for p in planted.values() for s in p} | set(capitals)
+    assert sum(f not in secret for f in found) <= 0.05 * len(found)
+
+
 @pytest.mark.parametrize("shard_words", [60, 100_000])
 def test_substrings(docs, corpus, shard_words):
     out = substrings.drop_repeated_spans(docs, shard_words=shard_words)
