@@ -17,7 +17,7 @@ from .bpe import byte_symbols
 from .common import by_weight, map_batches, stored
 
 # Characters of text that are aligned and counted as one part.
-PART = 4_000_000
+PART = 2_000_000
 # A pair of ids is one integer: the first id, then this many bits of the second.
 BITS = 20
 MASK = (1 << BITS) - 1
