@@ -21,7 +21,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session, else one inside its warehouse.
 
     Both outlive executors and can be reached by all of them; a machine's own temporary folder is
-    never used.
+    never used. On a cluster whose warehouse is a local folder, a session has to name one.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -29,6 +29,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+        if not spark.sparkContext.master.startswith("local") and configured.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
