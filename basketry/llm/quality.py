@@ -2,7 +2,8 @@
 
 The quantile sketch is a table of counts over logarithmic bins (relative error ``GAMMA - 1``).
 Counts of one bin add up, so sketches merge exactly, over tasks as well as from sources to
-languages to the whole corpus, and the result does not depend on the layout of the data.
+languages to the whole corpus, and the result does not depend on the layout of the data. Every
+cut-off is a number of quartile ranges beyond the quartiles of a sketch.
 """
 
 from __future__ import annotations
@@ -19,18 +20,18 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
 ZERO_BIN = -100_000
-# A source with fewer documents takes the cut-offs of its language, a language those of the corpus.
-MIN_GROUP = 200
-# Distance from the quartiles, in quartile ranges, beyond which a value is an outlier.
+# Weight of the parent, in documents: the sketch of a language is merged with that of the corpus,
+# and that of a source with its language's, so a group of few documents follows its parent.
+PRIOR_DOCS = 200.0
+UNITS = 1000
+# Distance from the quartiles, in quartile ranges, beyond which a value is an outlier. Shares that
+# are zero in most documents are compared by their log odds among the documents that have any.
 REACH = 5.0
-# Without a quartile range there is no distance to measure in; then an outlier counts only beyond
-# these values: (lowest upper cut-off, highest lower cut-off).
-MARGIN = {
-    "word_length": (12.0, 2.5),
-    "symbol_share": (0.15, None),
-    "dup_line_share": (0.5, None),
-    "repeat_share": (0.4, None),
-}
+LOG_REACH = 2.0
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LINEAR = ("word_length", "mark_share")
+ODDS = ("symbol_share", "dup_line_share", "repeat_share")
+LOWER = ("word_length",)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -67,7 +68,7 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with the five counts of every text and its number of lines.
+    """``df`` without ``text``, with the five counts of every text, its lines and its ASCII marks.
 
     NULL and empty texts have no words and no line with a word. The added names must be free.
     """
@@ -80,6 +81,7 @@ def text_counts(df: DataFrame, text: str = "text") -> DataFrame:
         lines.alias("lines"),
         (F.char_length(body) - _squeezed(body, blank)).cast("long").alias("word_chars"),
         _squeezed(body, SYMBOLS).cast("long").alias("n_symbols"),
+        _squeezed(body, MARKS).cast("long").alias("n_marks"),
     )
     counted = counted.withColumns(
         {
@@ -99,18 +101,24 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
 
+def _odds(part: str, whole: str) -> Column:
+    """The odds of a share, NULL for none; half a unit more in the rest keeps those of 1 finite."""
+    return F.when(F.col(part) > 0, F.col(part) / (F.col(whole) - F.col(part) + 0.5))
+
+
 def _measures() -> dict[str, Column]:
     return {
         "word_length": _share("word_chars", "n_words"),
-        "symbol_share": _share("n_symbols", "word_chars"),
-        "dup_line_share": _share("n_dup_lines", "n_lines"),
-        "repeat_share": _share("n_repeat_words", "n_words"),
+        "mark_share": _share("n_marks", "word_chars"),
+        "symbol_share": _odds("n_symbols", "word_chars"),
+        "dup_line_share": _odds("n_dup_lines", "n_lines"),
+        "repeat_share": _odds("n_repeat_words", "n_words"),
     }
 
 
 def _bin(value: Column) -> Column:
     inside = F.ceil(F.log(value) / F.lit(math.log(GAMMA)))
-    return F.when(value > 0, inside).otherwise(F.lit(ZERO_BIN)).cast("int")
+    return F.when(value > 0, inside).when(value == 0, F.lit(ZERO_BIN)).cast("int")
 
 
 def sketches(df: DataFrame) -> DataFrame:
@@ -123,6 +131,7 @@ def sketches(df: DataFrame) -> DataFrame:
     )
     finest = (
         df.select("lang", "source", F.explode(cells).alias("cell"))
+        .filter("cell.bin IS NOT NULL")
         .groupBy("lang", "source", "cell.measure", "cell.bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -141,98 +150,108 @@ def sketches(df: DataFrame) -> DataFrame:
     return rolled.select("measure", "bin", "lang", "source", "n", level.alias("level"))
 
 
-def cutoffs(sketch: DataFrame) -> DataFrame:
-    """``lang, source`` with the lowest and highest accepted value of every measure.
+def _blend(own: DataFrame, keys: list[str], parent: DataFrame, on: str, prior: float) -> DataFrame:
+    """The sketches of ``own`` merged with those of their ``parent``, scaled to ``prior`` documents.
 
-    Windows run over the bins of one group, whose number is bounded by the range of a double.
+    Counts are integers in units of 1 / ``UNITS`` document, so that no order of adding matters. The
+    rows are bins of groups, whatever the number of documents.
     """
-    group = ["level", "lang", "source", "measure"]
-    upto = Window.partitionBy(*group).orderBy("bin")
-    ranked = sketch.select(
-        "*",
-        F.sum("n").over(upto).alias("upto"),
-        F.sum("n").over(Window.partitionBy(*group)).alias("total"),
-    )
-    value = F.when(F.col("bin") == ZERO_BIN, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin")))
+    shares = parent.withColumn("total", F.sum("n").over(Window.partitionBy(on, "measure")))
+    share = F.expr(f"{round(prior * UNITS)} * n div total")
+    given = own.select(on, *keys).distinct().join(shares, on).select(on, *keys, "measure", "bin", share.alias("n"))
+    mine = own.select(on, *keys, "measure", "bin", (F.col("n") * UNITS).alias("n"))
+    return mine.unionByName(given).groupBy(on, *keys, "measure", "bin").agg(F.sum("n").alias("n"))
 
-    def quantile(q: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), value))
 
-    quartiles = ranked.groupBy(*group).agg(
-        quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), F.max("total").alias("total")
-    )
-    reach = F.lit(REACH) * (F.col("q3") - F.col("q1"))
-    picked = []
-    for name, (high, low) in MARGIN.items():
-        mine = F.col("measure") == name
-        top = F.when(reach > 0, F.col("q3") + reach).otherwise(F.greatest("q3", F.lit(high)))
-        picked.append(F.max(F.when(mine, top)).alias(f"high_{name}"))
-        if low is not None:
-            bottom = F.when(reach > 0, F.col("q1") - reach).otherwise(F.least("q1", F.lit(low)))
-            picked.append(F.max(F.when(mine, bottom)).alias(f"low_{name}"))
-    wide = quartiles.groupBy("level", "lang", "source").agg(*picked, F.max("total").alias("total"))
-    enough = F.col("total") >= MIN_GROUP
-    limits = [c for c in wide.columns if c.startswith(("high_", "low_"))]
-    at = {}
-    for n, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
-        chosen = wide.filter((F.col("level") == n) & (enough if n == 1 else F.lit(True)))
-        at[n] = chosen.select(*keys, "total", *[F.col(c).alias(f"{c}_{n}") for c in limits])
-    whole = at[0].drop("total").withColumn("all", F.lit(1))
-    joined = (
-        at[2]
-        .join(at[1].drop("total"), "lang", "left")
-        .withColumn("all", F.lit(1))
-        .join(whole, "all", "left")
-    )
-    return joined.select(
-        "lang",
-        "source",
-        *[
-            F.coalesce(
-                F.when(F.col("total") >= MIN_GROUP, F.col(f"{c}_2")), F.col(f"{c}_1"), F.col(f"{c}_0")
-            ).alias(c)
-            for c in limits
-        ],
+def cutoffs(sketch: DataFrame, prior: float = PRIOR_DOCS) -> DataFrame:
+    """``lang, source`` with the lowest and highest accepted value of every measure.
+
+    All come from the quartiles of the sketches: the outer edges of the bins that hold them, as
+    logarithms for odds. A measure without a range between them gets NULL: no cut-off.
+    """
+    named = sketch.withColumn("corpus", F.lit(""))
+    whole = named.filter("level = 0").select("corpus", "measure", "bin", "n")
+    langs = _blend(named.filter("level = 1"), ["lang"], whole, "corpus", prior)
+    blend = _blend(sketch.filter("level = 2"), ["source"], langs.drop("corpus"), "lang", prior)
+    group = Window.partitionBy("lang", "source", "measure")
+    ranked = blend.select(
+        "*", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("total")
     )
+    limits, picked = [], []
+    for name in (*LINEAR, *ODDS):
+        for label, quarters, outer in (("q1", 1, -1), ("q3", 3, 0)):
+            reached = (F.col("measure") == name) & (4 * F.col("upto") >= quarters * F.col("total"))
+            edge = F.min(F.when(reached, F.col("bin"))) + outer
+            edge = F.pow(F.lit(GAMMA), edge) if name in LINEAR else edge * F.lit(math.log(GAMMA))
+            picked.append(edge.alias(f"{label}_{name}"))
+        q1, q3 = F.col(f"q1_{name}"), F.col(f"q3_{name}")
+        reach = F.lit(REACH if name in LINEAR else LOG_REACH) * F.nullif(q3 - q1, F.lit(0.0))
+        limits.append((q3 + reach).alias(f"high_{name}"))
+        if name in LOWER:
+            limits.append((q1 - reach).alias(f"low_{name}"))
+    return ranked.groupBy("lang", "source").agg(*picked).select("lang", "source", *limits)
 
 
 def within(limits: DataFrame) -> Column:
-    ok = F.lit(True)
+    """No value beyond a cut-off; a measure without a value or a cut-off accepts."""
+    beyond = F.lit(False)
     for name, value in _measures().items():
-        ok = ok & (value <= F.col(f"high_{name}"))
-        if f"low_{name}" in limits.columns:
-            ok = ok & (value >= F.col(f"low_{name}"))
-    return ok
+        value = F.log(value) if name in ODDS else value
+        beyond = beyond | F.coalesce(value > F.col(f"high_{name}"), F.lit(False))
+        if name in LOWER:
+            beyond = beyond | F.coalesce(value < F.col(f"low_{name}"), F.lit(False))
+    return ~beyond
+
+
+def _counted(docs: DataFrame, text: str, lang: str, source: str, *carried: Column) -> DataFrame:
+    rows = docs.select(
+        *carried,
+        F.coalesce(F.col(lang), F.lit("")).alias("lang"),
+        F.coalesce(F.col(source), F.lit("")).alias("source"),
+        F.col(text).alias("text"),
+    )
+    return text_counts(rows).withColumn("base_failed", failed_base())
 
 
 def judge_quality(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source"
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+    prior: float = PRIOR_DOCS,
 ) -> DataFrame:
     """``doc_id, text_key``, the five counts, ``base_failed`` and ``kept`` for every row of ``docs``.
 
     ``text_key`` is a hash of the text, so that rows repeated under one key stay apart. A document
-    is kept if it passes the base rule and lies inside the cut-offs of its language and source.
+    is kept if it passes the base rule and lies inside the cut-offs of its language and source, whose
+    sketch is merged with that of the language at the weight of ``prior`` documents.
     NULL and empty language or source form one group. Cut-offs come from the documents that pass
     the base rule; without any, nothing is kept. Other columns are not read.
     """
-    rows = docs.select(
-        F.col(key).alias("doc_id"),
-        F.coalesce(F.col(lang), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source), F.lit("")).alias("source"),
-        F.xxhash64(text).alias("text_key"),
-        F.col(text).alias("text"),
+    counts = stored(
+        _counted(docs, text, lang, source, F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_key"))
     )
-    counts = stored(text_counts(rows).withColumn("base_failed", failed_base()))
-    limits = cutoffs(sketches(counts.filter(~F.col("base_failed"))))
-    # Narrow rows; adaptive execution measures the cut-offs and splits a source with many rows.
+    # Stored, so that the join knows the size of the cut-offs before it moves the counts.
+    sketch = stored(sketches(counts.filter(~F.col("base_failed"))))
+    limits = stored(cutoffs(sketch, prior))
     joined = counts.join(limits, ["lang", "source"], "left")
-    kept = ~F.col("base_failed") & F.coalesce(within(limits), F.lit(False))
+    kept = ~F.col("base_failed") & within(limits)
     return joined.select("doc_id", "text_key", *COUNTS, "base_failed", kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns."""
-    kept = judge_quality(docs, key, text).filter("kept").select("doc_id", "text_key").distinct()
-    kept = kept.toDF("__key", "__text_key")
-    same = F.col("__key").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col("__text_key"))
-    return docs.join(kept, same, "left_semi")
+def keep_good(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+    prior: float = PRIOR_DOCS,
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns.
+
+    Rows travel through the counting pass; those that fail the base rule leave there.
+    """
+    counts = _counted(docs, text, lang, source, F.struct(*docs.columns).alias("row"))
+    counts = stored(counts.filter(~F.col("base_failed")))
+    limits = stored(cutoffs(stored(sketches(counts)), prior))
+    return counts.join(limits, ["lang", "source"]).filter(within(limits)).select("row.*")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -162,6 +163,51 @@ def quality(docs):
     return out
 
 
+def quality_kept(docs, prior=200.0):
+    """Ids of the rows (id, text, lang, source) that pass the base rule and the fences of their source."""
+    step = math.log(1.02)
+    marks = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    rows = []
+    for (d, n, chars, symbols, dup, again, failed), (_, t, lang, source) in zip(quality([x[:2] for x in docs]), docs):
+        lines_ = sum(bool(VISIBLE.search(x)) for x in (t or "").split("\n"))
+        if not failed:
+            odds = [(symbols, chars), (dup, lines_), (again, n)]
+            plain = [chars / n, sum(c in marks for c in t) / chars]
+            rows.append((d, lang or "", source or "", plain + [a / (b - a + 0.5) if a else None for a, b in odds]))
+
+    def bins(values):
+        return Counter(-100_000 if v == 0 else math.ceil(math.log(v) / step) for v in values)
+
+    def merged(own, parent):
+        out, total = Counter({b: 1000 * n for b, n in own.items()}), sum(parent.values())
+        for b, n in parent.items():
+            out[b] += round(1000 * prior) * n // total
+        return out
+
+    kept = {r[0] for r in rows}
+    for m in range(5):
+        known = [r for r in rows if r[3][m] is not None]
+        whole = bins(r[3][m] for r in known)
+        for lang in {r[1] for r in rows}:
+            mine = merged(bins(r[3][m] for r in known if r[1] == lang), whole)
+            for source in {r[2] for r in rows if r[1] == lang}:
+                own = merged(bins(r[3][m] for r in known if r[1:3] == (lang, source)), mine)
+                edges, upto = [], 0
+                for b in sorted(own):
+                    upto += own[b]
+                    edges += [b] * (4 * upto // max(1, sum(own.values())) - len(edges))
+                if not edges:
+                    continue
+                low, high = edges[0] - 1, edges[2]
+                low, high = (low * step, high * step) if m > 1 else (1.02**low, 1.02**high)
+                reach = (2 if m > 1 else 5) * (high - low)
+                for r in known:
+                    v = math.log(r[3][m]) if m > 1 else r[3][m]
+                    if reach and r[1:3] == (lang, source) and (v > high + reach or m == 0 and v < low - reach):
+                        kept.discard(r[0])
+    return kept
+
+
 def warc(pages):
     largest = {}
     for p, h in pages:

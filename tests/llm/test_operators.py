@@ -1,6 +1,7 @@
 """Every text operator against its plain version, on odd rows and on empty tables."""
 
 import math
+import random
 import struct
 
 import brute
@@ -355,12 +356,49 @@ def test_quality_sketch_quantiles(spark):
     r = np.random.default_rng(1)
     values = r.gamma(2.0, 3.0, 4000) + 1
     frame_ = spark.createDataFrame(
-        [("en", "a", 1000, int(v * 1000), 0, 0, 0, 10) for v in values],
-        "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long",
+        [("en", "a", 1000, int(v * 1000), 0, 0, 0, 10, 0) for v in values],
+        "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_marks long",
     )
     limit = quality.cutoffs(quality.sketches(frame_)).first()
     q1, q3 = np.quantile(values, [0.25, 0.75])
-    assert limit.high_word_length == pytest.approx(max(12.0, q3 + quality.REACH * (q3 - q1)), rel=0.15)
+    assert limit.high_word_length == pytest.approx(q3 + quality.REACH * (q3 - q1), rel=0.15)
+    assert limit.high_mark_share is None and limit.high_repeat_share is None
+
+
+@pytest.mark.parametrize("prior", [20.0, 200.0])
+def test_quality_verdict(spark, prior):
+    """Kept rows equal the plain version; text full of marks goes, the rest of the passing rows stays."""
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    rows_ = []
+    for i in range(500):
+        w = [r.choice(vocabulary) + r.choice(["", "", "", ",", "."]) for _ in range(r.randint(40, 150))]
+        lang, source = r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", "c", ""])
+        if i % 25 == 0:
+            w = [x + r.choice(["###", "$$$", "%%%", ""]) for x in w]
+        if i % 30 == 1:
+            w += w[: r.randint(5, 40)]
+        text = "".join(x + ("\n" if j % 13 == 12 else " ") for j, x in enumerate(w))
+        rows_.append((i, text + ("\n" + text[:200]) * (i % 40 == 2), lang, source))
+    rows_ += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "w " * 60, "en", "a"), (903, rows_[3][1], "xx", "y")]
+    expected = brute.quality_kept(rows_, prior)
+    frame_ = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").repartition(5)
+    assert {x.doc_id for x in quality.judge_quality(frame_, prior=prior).filter("kept").collect()} == expected
+    good = quality.keep_good(frame_.withColumn("row", F.lit(1)).withColumn("n_words", F.lit("x")), prior=prior)
+    assert good.columns == [*frame_.columns, "row", "n_words"]
+    assert {x.doc_id for x in good.collect()} == expected
+    passing = {x[0] for x in brute.quality([y[:2] for y in rows_]) if not x[-1]}
+    junk = {i for i in passing if i < 500 and i % 25 == 0}
+    assert len(junk) > 10 and not junk & expected and len(passing - junk - expected) <= 2
+
+
+def test_quality_labels(spark):
+    """On the given labels no good document goes, and nearly all bad ones that pass the base rule do."""
+    sf = "/root/testdata/sf0.01"
+    judged = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet")).filter("NOT base_failed")
+    judged = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(x.quality, x.kept): x["count"] for x in judged.groupBy("quality", "kept").count().collect()}
+    assert n.get((1, False), 0) == 0 and n.get((0, True), 0) <= 0.05 * n[0, False]
 
 
 @pytest.mark.parametrize("segment", [50, 1_000_000])
@@ -371,6 +409,9 @@ def test_warc(spark, tmp_path, corpus, segment):
     out = warc.read_pages(spark, path)
     assert rows(out.drop("payload")) == sorted(brute.warc(corpus), key=repr)
     texts = dict(corpus)
+    records = warc.read_records(spark, path)
+    named = {r.refers_to for r in records.filter("refers_to IS NOT NULL").collect()}
+    assert named and named <= {r.record_id for r in records.filter("kind = 'response'").collect()}
     for r in out.filter("payload IS NOT NULL").collect():
         assert bytes(r.payload) == (texts[r.page_id] or "").encode()
 
@@ -381,6 +422,8 @@ def test_warc_odd_rows(spark, tmp_path):
     path = str(tmp_path / "archives")
     warc.write_archives(pages, path)
     got = rows(warc.read_pages(spark, path).select("page_id", "record_type", "refers_to"))
+    ids = {r.record_id for r in warc.read_records(spark, path).collect()}
+    assert {r.refers_to for r in warc.read_records(spark, path).collect()} - {None} <= ids
     expected = [(None, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 3), (3, "response", None)]
     assert got == sorted(expected, key=repr)
 
