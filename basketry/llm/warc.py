@@ -60,6 +60,11 @@ def _record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + head + b"\r\n" + block
 
 
+def record_name(page: int | None, payload: bytes) -> str:
+    """The record id of a page; a revisit, which has the same payload, can name its original by it."""
+    return f"urn:page:{'' if page is None else page}:{bare_digest(payload)}"
+
+
 def page_records(
     record_id: str, url: str | None, payload: bytes, original: str | None, segment: int
 ) -> list[bytes]:
@@ -136,28 +141,24 @@ def write_archives(
     """Write one or more records for every row of ``pages`` (page_id, url, html) to ``path``.
 
     NULL html is an empty payload, NULL url gives no target. Rows repeated under one id and payload
-    are all written and are of one type. A NULL id is the smallest and never an original. Gzip
+    are all written, under one record id, and are of one type. A NULL id is the smallest and never an original. Gzip
     archives are written by Spark, so a lost executor leaves no half-written file behind.
     """
     first = originals(pages, min_bytes).toDF("__page", "__digest", "__original")
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row"))
-    rows = rows.join(
+    rows = pages.select("page_id", "url", "html").join(
         first,
         F.col("page_id").eqNullSafe(F.col("__page"))
         & (F.sha2(F.encode(body, "UTF-8"), 256) == F.col("__digest")),
-    ).select("page_id", "url", "html", "row", F.col("__original").alias("original"))
+    ).select("page_id", "url", "html", F.col("__original").alias("original"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "row", "original")]
-        for page, url, html, row, original in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "html", "original")]
+        for page, url, html, original in zip(*columns):
+            payload = (html or "").encode("utf-8")
             own = original is None or original == page
             records = page_records(
-                f"urn:page:{'' if page is None else page}:row:{row}",
-                url,
-                (html or "").encode("utf-8"),
-                None if own else f"urn:page:{original}",
-                segment,
+                record_name(page, payload), url, payload, None if own else record_name(original, payload), segment
             )
             yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
 
@@ -166,6 +167,7 @@ def write_archives(
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+PAGE = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
 _PARTS = (
     "record_id string, kind string, origin string, segment int, total long, refers_to string, "
     "declared string, block binary"
@@ -211,8 +213,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` of every page.
 
     A page's segments meet by origin and are ordered by number; a missing segment, a wrong total
-    length or a payload that does not match its digest is an error. The rows of one group are the
-    segments of one page. ``payload`` of a revisit is NULL.
+    length or a payload that does not match its digest is an error. Records repeated under one id are
+    equal: a group keeps each segment once and their number, and gives as many rows. ``payload`` of
+    a revisit is NULL.
     """
     records = read_records(spark, path)
     whole = records.groupBy("origin").agg(
@@ -221,19 +224,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
         F.max("declared").alias("declared"),
         F.max("total").alias("total"),
         F.max("segment").alias("last"),
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(F.col("kind") != "continuation", 1)).alias("copies"),
+        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"),
     )
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names = ("origin", "kind", "refers_to", "declared", "total", "last", "parts")
+        names = ("origin", "kind", "refers_to", "declared", "total", "last", "n", "copies", "parts")
         for start in range(0, batch.num_rows, 64):
             rows = []
             part = batch.slice(start, 64)
-            for origin, kind, refers, declared, total, last, parts in zip(
+            for origin, kind, refers, declared, total, last, n_parts, copies, parts in zip(
                 *(part.column(c).to_pylist() for c in names)
             ):
                 block = b"".join(p["block"] for p in parts)
-                if kind is None or [p["segment"] for p in parts] != list(range(1, last + 1)):
+                found = [p["segment"] for p in parts]
+                if kind is None or found != list(range(1, last + 1)) or n_parts != copies * last:
                     raise ValueError(f"segments of {origin} are missing or repeated")
                 if last > 1 and len(block) != total:
                     raise ValueError(f"{origin} has {len(block)} bytes and declares {total}")
@@ -250,15 +256,17 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                     n = len(payload)
                     if bare_digest(payload) != digest:
                         raise ValueError(f"payload of {origin} does not match its digest")
-                rows.append((int(page) if page else None, n, digest, kind, refers_to, payload))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+                rows.append((int(page) if page else None, n, digest, kind, refers_to, payload, copies))
+            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64())
+            out = (*PAGE, "copies")
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays(columns, list(out))
 
-    return map_batches(
+    pages = map_batches(
         whole,
         run,
         "page_id long, payload_bytes long, payload_digest string, record_type string, "
-        "refers_to long, payload binary",
+        "refers_to long, payload binary, copies long",
     )
+    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return pages.select(*PAGE, each.alias("copy")).select(*PAGE)
