@@ -249,9 +249,10 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that ``judge_quality`` keeps, with all their columns.
 
-    Rows travel through the counting pass; those that fail the base rule leave there.
+    Rows travel through the counting pass and its table, so no text is shuffled or joined back.
     """
     counts = _counted(docs, text, lang, source, F.struct(*docs.columns).alias("row"))
-    counts = stored(counts.filter(~F.col("base_failed")))
+    # Filtered after the table, or the optimizer would repeat the counting inside the filter.
+    counts = stored(counts).filter(~F.col("base_failed"))
     limits = stored(cutoffs(stored(sketches(counts)), prior))
     return counts.join(limits, ["lang", "source"]).filter(within(limits)).select("row.*")
