@@ -2,6 +2,8 @@
 
 from types import SimpleNamespace
 
+import pytest
+
 from basketry.session import checkpoint_root, freeze, scratch_path, stage_scope
 
 
@@ -53,3 +55,16 @@ def test_frozen_rows_do_not_change(spark):
     assert frozen.exceptAll(frozen).count() == 0
     assert frozen.agg(F.sum("x")).first() == frozen.agg(F.sum("x")).first()
     assert scratch_path(spark, "t") != scratch_path(spark, "t")
+
+
+def test_scope_of_one_thread_keeps_tables_of_others(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from basketry.session import freeze, stage_scope
+
+    with ThreadPoolExecutor(1) as other:
+        with stage_scope(spark, own_thread=True):
+            own, kept = freeze(spark.range(5)), other.submit(lambda: freeze(spark.range(7))).result()
+    assert kept.count() == 7
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        own.collect()
