@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import by_weight, map_batches, stored
+from .common import by_weight, stored
 
-# Characters of text that are aligned and counted as one part.
+# Characters of text that are counted as one part, and that are aligned at once.
 PART = 2_000_000
+SLICE = 250_000
 # A pair of ids is one integer: the first id, then this many bits of the second.
 BITS = 20
 MASK = (1 << BITS) - 1
@@ -150,6 +151,12 @@ class Aligner:
         }
 
 
+def _added(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several counts, and their numbers added up."""
+    values, row = np.unique(np.concatenate([v for v, _ in counted]), return_inverse=True)
+    return values, _per_row(np.concatenate([n for _, n in counted]), row, len(values))
+
+
 def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """One list per row from values in row order."""
     offsets = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
@@ -164,8 +171,8 @@ FIELDS = [
     ("n_groups", pa.int64()),
     ("n_links", pa.int64()),
     ("groups_sha256", pa.string()),
-    ("ids", pa.list_(pa.int64())),
-    ("id_times", pa.list_(pa.int64())),
+    ("ids", pa.list_(pa.int32())),
+    ("id_times", pa.list_(pa.int32())),
     ("pairs", pa.list_(pa.int64())),
     ("pair_times", pa.list_(pa.int64())),
 ]
@@ -174,7 +181,7 @@ COUNTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 def _aligned(docs: DataFrame, load: Callable[[], Aligner]) -> DataFrame:
     """The first pass: a row per text, per part the irregular pairs, per task the identity vector."""
-    lists = "ids array<long>, id_times array<long>, pairs array<long>, pair_times array<long>"
+    lists = "ids array<int>, id_times array<int>, pairs array<long>, pair_times array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = load()
@@ -190,22 +197,26 @@ def _aligned(docs: DataFrame, load: Callable[[], Aligner]) -> DataFrame:
 
         for batch in batches:
             key = batch.schema.field(0).type
-            for first, to in by_weight(batch.column(1), PART):
-                size = to - first
-                found = aligner.align([t or "" for t in batch.column(1).slice(first, size).to_pylist()])
-                text, pair, times = found["text"], found["pair"], found["times"]
-                same = aligner.same[pair >> BITS] == pair & MASK
-                vector += np.bincount(pair[same] >> BITS, minlength=len(vector))
-                columns = [
-                    pa.array(np.full(size, DOC, np.int32)),
-                    pa.array(np.full(size, part)),
-                    *[pa.array(c.astype(np.int64)) for c in found["counts"]],
-                    pa.array(found["digests"], pa.string()),
-                ]
-                for chosen, values in ((same, pair >> BITS), (~same, pair)):
-                    columns += [_lists(v[chosen], text[chosen], size, pa.int64()) for v in (values, times)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, size), *columns], names)
-                yield extra(PAIRS, part, *np.unique(pair[~same], return_counts=True))
+            for part_first, part_to in by_weight(batch.column(1), PART):
+                rows = batch.slice(part_first, part_to - part_first)
+                irregular = []
+                for first, to in by_weight(rows.column(1), SLICE):
+                    size = to - first
+                    found = aligner.align([t or "" for t in rows.column(1).slice(first, size).to_pylist()])
+                    text, pair, times = found["text"], found["pair"], found["times"]
+                    same = aligner.same[pair >> BITS] == pair & MASK
+                    vector += np.bincount(pair[same] >> BITS, minlength=len(vector))
+                    columns = [
+                        pa.array(np.full(size, DOC, np.int32)),
+                        pa.array(np.full(size, part)),
+                        *[pa.array(c.astype(np.int64)) for c in found["counts"]],
+                        pa.array(found["digests"], pa.string()),
+                    ]
+                    for chosen, values, kind in ((same, pair >> BITS, pa.int32()), (~same, pair, pa.int64())):
+                        columns += [_lists(v[chosen], text[chosen], size, kind) for v in (values, times)]
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(first, size), *columns], names)
+                    irregular.append(np.unique(pair[~same], return_counts=True))
+                yield extra(PAIRS, part, *_added(irregular))
                 part += 1
         if vector.any():
             met = np.flatnonzero(vector)
@@ -229,7 +240,9 @@ def align_tokenizers(
     array over the first vocabulary, are counted in one vector of that length per task and never
     shuffled as pairs; only the others, distinct per part of about ``PART`` characters, are added up
     by a shuffle and come back to their part. The summed vectors, and the highest counts, have one
-    number per id of the first vocabulary, which bounds what is sent to the tasks.
+    number per id of the first vocabulary, which bounds what is sent to the tasks. Texts are aligned
+    ``SLICE`` characters at a time, and what was found in them meets the counts one part at a time,
+    so no task holds the lists of a whole Arrow batch of texts.
 
     NULL and empty texts, and texts that one of the tokenizers does not give back byte by byte,
     have no tokens: all numbers are 0 and the digest is ''. A key may be NULL or repeated; every
@@ -252,35 +265,29 @@ def align_tokenizers(
     for vector, name in ((same_n, "same_n"), (best, "best")):
         vector[per_id["id"].to_numpy()] = per_id[name].to_numpy()
 
-    def regular(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        ids, times, row = _flat(batch.column(at["ids"]), batch.column(at["id_times"]))
-        n = same_n[ids]
-        sums = [_per_row(times * (n == best[ids]), row, len(batch)), _per_row(times * n, row, len(batch))]
-        kept = [batch.column(at[c]) for c in (*plain, "pairs", "pair_times")]
-        yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, sums)], [*plain, "pairs", "pair_times", "n_best", "count_sum"])
-
-    plain = ("part", "doc_id", *[c.split()[0] for c in COUNTS.split(", ")])
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    head = f"doc_id {kind}, {COUNTS}"
+    plain = [c.split()[0] for c in f"doc_id, {COUNTS}".split(", ")]
+    head = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COUNTS}"
     texts = found.filter(F.col("kind") == DOC).drop("kind")
-    texts = map_batches(
-        texts, regular, f"part long, {head}, pairs array<long>, pair_times array<long>, n_best long, count_sum long"
-    )
-    known = irregular.select("part", "pairs").join(counts, "pairs")
+    known = irregular.select(F.col("part").alias("known_part"), "pairs").join(counts, "pairs")
 
     def complete(texts: pa.Table, known: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
         order = np.argsort(known["pairs"].to_numpy())
         keys, counted = known["pairs"].to_numpy()[order], known["n"].to_numpy()[order]
-        lists = [texts[c].chunk(0) if texts[c].num_chunks else pa.array([], pa.list_(pa.int64())) for c in ("pairs", "pair_times")]
-        pairs, times, row = _flat(*lists)
-        n = counted[np.searchsorted(keys, pairs)] if len(keys) else np.zeros(len(pairs), np.int64)
-        added = _per_row(times * (n == best[pairs >> BITS]), row, len(texts)), _per_row(times * n, row, len(texts))
-        sums = [pa.array(texts[c].to_numpy() + x) for c, x in zip(("n_best", "count_sum"), added)]
-        return pa.table([*[texts[c] for c in plain[1:]], *sums], [*plain[1:], "n_best", "count_sum"])
-
-    return texts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(complete, f"{head}, n_best long, count_sum long")
+        n_best, count_sum = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for values, numbers in (("ids", "id_times"), ("pairs", "pair_times")) if len(texts) else ():
+            ids, times, row = _flat(texts[values].chunk(0), texts[numbers].chunk(0))
+            if values == "ids":
+                n = same_n[ids]
+            else:
+                n = counted[np.searchsorted(keys, ids)] if len(keys) else np.zeros(len(ids), np.int64)
+                ids = ids >> BITS
+            n_best += _per_row(times * (n == best[ids]), row, len(texts))
+            count_sum += _per_row(times * n, row, len(texts))
+        sums = [pa.array(n_best), pa.array(count_sum)]
+        return pa.table([*[texts[c] for c in plain], *sums], [*plain, "n_best", "count_sum"])
+
+    return texts.groupBy("part").cogroup(known.groupBy("known_part")).applyInArrow(complete, f"{head}, n_best long, count_sum long")
 
 
 def _flat(values: pa.Array, times: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

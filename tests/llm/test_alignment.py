@@ -59,6 +59,27 @@ def test_alignment_of_odd_rows(spark, plain):
     assert [e[1:] for e in expected if e[0] == 9] == [(0, 0, 0, 0, "", 0, 0)]
 
 
+def test_tasks_hold_lists_of_a_slice_or_a_part(docs, corpus, plain, monkeypatch):
+    monkeypatch.setattr(alignment, "PART", 3_000)
+    monkeypatch.setattr(alignment, "SLICE", 700, raising=False)
+
+    def load():
+        aligner = queries.public_aligner()
+        align = type(aligner).align
+
+        def sliced(texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 700
+            return align(aligner, texts)
+
+        aligner.align = sliced
+        return aligner
+
+    aligned = alignment.align_tokenizers(docs, load)
+    assert rows(aligned) == sorted(brute.alignment(corpus, *plain), key=repr)
+    # Arrow batches are cut by rows and not by bytes, so lists of texts are not read through them.
+    assert "MapInArrow" not in aligned._jdf.queryExecution().toString()
+
+
 def test_alignment_of_an_empty_table(spark):
     assert rows(alignment.align_tokenizers(frame(spark, ODD).limit(0), queries.public_aligner)) == []
     assert rows(alignment.align_tokenizers(frame(spark, [(1, None), (2, "")]), queries.public_aligner)) == [
