@@ -36,9 +36,16 @@ def exclude_seen(
     item: str = "item",
     weight: str | None = None,
 ) -> DataFrame:
-    """Drop predictions of items the user already has. With ``weight``, only weight > 0 counts as seen."""
+    """Drop predictions of items the user already has. With ``weight``, only weight > 0 counts as seen.
+
+    The seen pairs grow with the input, yet a stored table of them looks small by its compressed
+    bytes: the hint keeps them from being sent to every task. An outer join, as an anti-join would be
+    moved below an aggregation of ``preds`` and shuffle all that is still to be added up.
+    """
     seen = train if weight is None else train.filter(F.col(weight) > 0)
-    return preds.join(seen.select(user, item), [user, item], "left_anti")
+    marked = seen.select(user, item, F.lit(True).alias("__is_seen")).hint("merge")
+    met = preds.join(marked, [user, item], "left")
+    return met.filter(F.col("__is_seen").isNull()).select(*preds.columns)
 
 
 def missing_keys(a: DataFrame, b: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -5,10 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators import ordered, pairs
+from basketry.operators.joins import exclude_seen
 from basketry.operators.ordered import avg_rank_pct
 from basketry.operators.pairs import both_directions, item_similarity, pair_counts, pairs_within, score_by_similarity
+from basketry.session import freeze
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +59,17 @@ def test_scores_added_up_in_any_way(lines, monkeypatch, sent, hot):
             want[u, other] += s
     got = {(r.user, r.item): r.prediction for r in score_by_similarity(known, similarity).collect()}
     assert got == pytest.approx(dict(want), abs=2e-6)
+
+
+def test_seen_pairs_are_not_sent_to_every_task(spark):
+    """A stored table looks small, and an anti-join would sink below the sums of the scores."""
+    train = freeze(spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 3), (2, 4)], "user int, item int"))
+    parts = [(1, 1, 0.5), (1, 2, 0.25), (1, 2, 0.25), (2, 4, 1.0), (2, None, 2.0), (None, 3, 3.0), (None, None, 4.0)]
+    parts = spark.createDataFrame(parts, "user int, item int, part double")
+    scores = parts.groupBy("user", "item").agg(F.sum("part").alias("prediction"))
+    left = exclude_seen(scores, train)
+    want = {(1, 2, 0.5), (2, None, 2.0), (None, 3, 3.0), (None, None, 4.0)}
+    assert left.columns == ["user", "item", "prediction"] and set(map(tuple, left.collect())) == want
+    assert exclude_seen(parts, train).count() == 5
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.index("SortMergeJoin") < plan.index("HashAggregate")
