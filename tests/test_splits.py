@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators.splits import chrono_split, fold_pair, kfold, random_split, split_report
+from basketry.plans.training import stored_split
+from basketry.session import stage_scope
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +98,20 @@ def test_ties_without_a_given_order_do_not_depend_on_the_layout(spark):
     want = parts(chrono_split(df))
     assert want == parts(chrono_split(df.orderBy(F.col("line").desc()).repartition(7), hot_rows=3))
     assert [want[i] for i in (0, 23, 24, 39)] == ["train", "train", "valid", "test"]
+
+
+def test_stored_split_evaluates_its_input_once(spark, lines):
+    """The sketch of frequent customers and the split both read the stored lines, not their joins again."""
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(user):
+        evaluated.add(1)
+        return user
+
+    costly = lines.withColumn("CUST_ID", F.udf(counted, "string")("CUST_ID"))
+    with stage_scope(spark):
+        got = stored_split(costly, keep=["CUST_ID", "line"], tiebreak=["line"], hot_rows=5)
+        assert evaluated.value == lines.count()
+        assert got.columns == ["CUST_ID", "line", "split"]
+        assert parts(got) == parts(chrono_split(lines, tiebreak=["line"]))
+        assert stored_split(lines, tiebreak=["line"]).columns == [*lines.columns, "split"]
