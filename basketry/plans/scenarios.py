@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import top_k
+from ..session import freeze
 from .model import TOP_K, fit_als, recommend_unseen
 
 
@@ -34,15 +35,17 @@ def with_fallback(
 ) -> DataFrame:
     """Give every user without recommendations the k most popular items.
 
-    The k items travel as one array value, so the cold users are never joined to the item table.
+    The k items travel as one array value, so the cold users are never joined to the item table. The
+    lists are read twice, for their rows and for their users, so they are stored first.
     """
+    recs = freeze(recs.select(user, item, score))
     best = popular.orderBy(F.col(score).desc(), F.col(item)).limit(k)
     shelf = best.agg(F.collect_list(F.struct(item, score))).scalar()
     cold = users.select(user).distinct().join(recs.select(user), user, "left_anti")
     filled = cold.select(user, F.explode(shelf).alias("__pick")).select(
         user, f"__pick.{item}", f"__pick.{score}"
     )
-    personal = recs.select(user, item, score).withColumn("source", F.lit("model"))
+    personal = recs.withColumn("source", F.lit("model"))
     return personal.unionByName(filled.withColumn("source", F.lit("popular")))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.operators.splits import fold_pair, kfold
 from basketry.plans.model import (
@@ -166,6 +167,23 @@ def test_fallback_fills_cold_users(spark):
     assert sorted(map(tuple, got.collect())) == [(1, 7, 0.5, "model"), (2, 4, 1.0, "popular"), (2, 9, 2.0, "popular")]
 
 
+def test_fallback_evaluates_the_lists_once(spark):
+    """Their rows and their users are both read; what made them runs once."""
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(user):
+        evaluated.add(1)
+        return user
+
+    recs = spark.createDataFrame([(1, 5, 0.5), (1, 6, 0.25), (2, 5, 1.0)], "user int, item int, prediction double")
+    recs = recs.withColumn("user", F.udf(counted, "int")("user"))
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user int")
+    popular = spark.createDataFrame([(7, 9.0), (8, 3.0)], "item int, prediction double")
+    got = {tuple(r) for r in with_fallback(recs, users, popular, k=1).collect()}
+    assert got == {(1, 5, 0.5, "model"), (1, 6, 0.25, "model"), (2, 5, 1.0, "model"), (3, 7, 9.0, "popular")}
+    assert evaluated.value == 3
+
+
 def test_rerank_applies_factors_before_the_cut(spark):
     recs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.1)], "user int, item int, prediction double")
     boosts = spark.createDataFrame([(3, 20.0), (1, 0.5)], "item int, factor double")
