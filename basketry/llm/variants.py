@@ -123,10 +123,11 @@ def signatures(word: str) -> Iterator[str]:
 def near_words(words: DataFrame) -> DataFrame:
     """``word, n, other, other_n``: every pair one inserted, deleted or replaced code point apart, both ways.
 
-    ``words`` has distinct ``word`` and ``n``. Words meet in a plain join on their signatures, where
+    ``words`` has distinct ``word`` and ``n``. Words meet in a join on their signatures, where
     the edit distance is checked before a row leaves, so neither a group's pairs nor a hot group
-    are gathered anywhere and adaptive execution can split it. A pair that meets several times is
-    kept once.
+    are gathered anywhere and adaptive execution can split it. Spark does not see how many signatures
+    a word has and would send those of a small vocabulary to the driver, so the join is by sort and
+    merge. A pair that meets several times is kept once.
     """
 
     def post(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,7 @@ def near_words(words: DataFrame) -> DataFrame:
     a = posted.select("signature", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = posted.select("signature", F.col("word").alias("b"), F.col("n").alias("b_n"))
     close = (F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1)
-    pairs = a.join(b, "signature").filter(close).select("a", "a_n", "b", "b_n").distinct()
+    pairs = a.join(b.hint("merge"), "signature").filter(close).select("a", "a_n", "b", "b_n").distinct()
     one = F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n"))
     two = F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))
     return pairs.select(F.explode(F.array(one, two)).alias("p")).select("p.*")
@@ -156,7 +157,7 @@ def follow(forms: DataFrame) -> DataFrame:
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
         went = stored(
-            at.join(further, "root", "left").select(
+            at.join(further.hint("merge"), "root", "left").select(
                 "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")
             )
         )
@@ -186,6 +187,7 @@ def group_spellings(words: DataFrame, ratio: int = 5) -> DataFrame:
         )
     )
     roots = follow(near.filter(F.col("form").isNotNull()))
+    near, roots = near.hint("merge"), roots.hint("merge")
     return words.join(near, "word", "left").join(roots, "word", "left").select(
         "word",
         "n",

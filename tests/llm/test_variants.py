@@ -81,3 +81,10 @@ def test_odd_rows_and_empty_tables(spark):
     assert dict(rows(variants.count_words(frame(spark, odd), min_count=1))) == brute.spelling_words(odd, 0, 6, 1)
     empty = variants.count_words(frame(spark, odd).limit(0))
     assert rows(variants.group_spellings(empty)) == []
+
+
+def test_signatures_are_not_sent_to_the_driver(spark):
+    words = spark.createDataFrame([("apple", 9), ("apples", 2)], "word string, n long").coalesce(1)
+    for df in (variants.near_words(words), variants.group_spellings(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
