@@ -1,8 +1,10 @@
 """The shared folder for intermediate tables."""
 
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.session import checkpoint_root, freeze, scratch_path, stage_scope
 
@@ -68,3 +70,22 @@ def test_scope_of_one_thread_keeps_tables_of_others(spark):
     assert kept.count() == 7
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
         own.collect()
+
+
+def test_shuffle_files_of_a_stored_step_are_removed(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, given = shuffles(), spark.conf.get(setting, "false")
+    kept = freeze(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(100):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert kept.count() == 10 and spark.conf.get(setting, "false") == given
